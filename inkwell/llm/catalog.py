@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from inkwell.llm import quality_rules
+from inkwell.llm import line_dedup, mixing, quality_rules, winnow
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1,
+        "op2_winnowing": winnow.op2,
+        "op3_mixing": mixing.op3,
+        "op6_line_dedup": line_dedup.op6,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op3_mixing": mixing.SQL,
+        "op6_line_dedup": line_dedup.SQL,
     }
