@@ -1,20 +1,41 @@
-"""Corpus preparation in stages over documents."""
+"""Corpus preparation in stages over documents. Each stage takes (spark, docs, sf_dir)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import quality_rules
+from inkwell.llm import bpe, line_dedup, mixing, quality_rules, simhash
 from inkwell.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; those that stay keep their text."""
     return quality_rules.keep(docs)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go; all documents stay."""
+    return line_dedup.drop_lines(docs)
 
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that their sources meet their targets."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids, a row per document of the mix."""
+    return bpe.digests(docs, bpe.default_path())
+
+
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("simhash", near_duplicate_stage), ("mixing", mixing_stage), ("bpe", encoding_stage)]
+
+#: SQL has no XXH64, so the pipeline is tested against plain Python instead.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import line_dedup, mixing, quality_rules, winnow
+from inkwell.llm import bpe, line_dedup, mixing, quality_rules, simhash, winnow
 
 
 def queries() -> dict:
@@ -10,7 +10,9 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1,
         "op2_winnowing": winnow.op2,
         "op3_mixing": mixing.op3,
+        "op5_simhash": simhash.op5,
         "op6_line_dedup": line_dedup.op6,
+        "op10_bpe": bpe.op10,
     }
 
 
