@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, line_dedup, mixing, quality_rules, simhash, winnow
+from inkwell.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc, winnow
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1,
         "op2_winnowing": winnow.op2,
         "op3_mixing": mixing.op3,
+        "op4_warc": warc.op4,
         "op5_simhash": simhash.op5,
         "op6_line_dedup": line_dedup.op6,
         "op10_bpe": bpe.op10,
@@ -20,5 +21,6 @@ def oracle_sql() -> dict:
     return {
         "op1_quality_rules": quality_rules.SQL,
         "op3_mixing": mixing.SQL,
+        "op4_warc": warc.SQL,
         "op6_line_dedup": line_dedup.SQL,
     }
