@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, line_dedup, mixing, quality_rules, simhash, warc, winnow
+from inkwell.llm import bpe, line_dedup, mixing, quality_model, quality_rules, simhash, toxicity, warc, winnow
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_warc": warc.op4,
         "op5_simhash": simhash.op5,
         "op6_line_dedup": line_dedup.op6,
+        "op7_quality": quality_model.op7,
+        "op9_toxicity": toxicity.op9,
         "op10_bpe": bpe.op10,
     }
 
