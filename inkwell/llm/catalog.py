@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, line_dedup, mixing, quality_model, quality_rules, simhash, toxicity, warc, winnow
+from inkwell.llm import bpe, line_dedup, mixing, quality_model, quality_rules, simhash, toxicity, url_model, warc, winnow
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5,
         "op6_line_dedup": line_dedup.op6,
         "op7_quality": quality_model.op7,
+        "op8_url_filter": url_model.op8,
         "op9_toxicity": toxicity.op9,
         "op10_bpe": bpe.op10,
     }
