@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import materialize, table, text_or_empty
+from inkwell.llm.common import free_names, materialize, table, text_or_empty
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -119,33 +119,34 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout:
     return lines.join(frequent, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
-def with_kept_text(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
-    """docs with __n_lines, __n_dropped and __kept, the text without its dropped lines."""
-    gone = dropped_lines(docs, min_docs, batches).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped"))
+def with_kept_text(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> tuple[DataFrame, list[str]]:
+    """docs with the number of lines, of dropped ones, and the text without those, under the three names returned."""
+    own, hashed, dropped, split, n_lines, n_dropped, left = free_names(docs, "__id", "__hash", "__gone", "__lines", "n_lines", "n_dropped", "kept")
+    gone = dropped_lines(docs, min_docs, batches).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("dropped").alias(dropped))
     text = text_or_empty()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
-    out = docs.join(gone, same, "left").withColumn("__lines", lines)
-    joined = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
-    return out.select(
-        *[F.col(c) for c in docs.columns], F.size("__lines").cast("long").alias("__n_lines"),
-        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("__n_dropped"), F.when(F.col("__dropped").isNull(), text).otherwise(joined).alias("__kept"),
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(hashed))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(dropped))
+    joined = F.array_join(F.transform(kept, lambda i: F.get(F.col(split), i)), "\n")
+    out = docs.join(gone, same, "left").withColumn(split, F.split(text, "\n", -1))
+    out = out.select(
+        *[F.col(c) for c in docs.columns], F.size(split).cast("long").alias(n_lines), F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias(n_dropped),
+        F.when(F.col(dropped).isNull(), text).otherwise(joined).alias(left),
     )
+    return out, [n_lines, n_dropped, left]
 
 
 def drop_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
     """The documents, all of them, without the lines found in min_docs documents or more."""
-    out = with_kept_text(docs, min_docs, batches)
-    new = {"text": F.when(F.col("__n_dropped") > 0, F.col("__kept")).otherwise(F.col("text")).alias("text")}
+    out, (_, n_dropped, left) = with_kept_text(docs, min_docs, batches)
+    new = {"text": F.when(F.col(n_dropped) > 0, F.col(left)).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__n_dropped") > 0, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        new["n_chars"] = F.when(F.col(n_dropped) > 0, F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_kept_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+    out, (n_lines, n_dropped, left) = with_kept_text(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", n_lines, n_dropped, F.sha2(left, 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkwell.llm.common import WORD_CHAR, materialize, table, text_or_empty
+from inkwell.llm.common import WORD_CHAR, free_names, materialize, table, text_or_empty
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix"
 #: Source as two columns without nulls, so that it can be a join key.
@@ -95,9 +95,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
     """The mix: every document as often as it is taken, whole; the one taken in part by the nearer number."""
     reps = F.col("whole") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
     plan = mix(docs, weights, cap, seed).select("doc_id", "text_hash", reps.alias("reps"))
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.max("reps").cast("int").alias("__reps")).filter("__reps > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
-    return docs.join(plan, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__reps")))).select(*docs.columns)
+    own, hashed, times, copy = free_names(docs, "__id", "__hash", "__reps", "__copy")
+    plan = plan.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).agg(F.max("reps").cast("int").alias(times)).filter(F.col(times) > 0)
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty()) == F.col(hashed))
+    return docs.join(plan, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACES, WORD_CHAR, let, materialize, shift_left, text_or_empty, words
+from inkwell.llm.common import SPACES, WORD_CHAR, free_names, let, materialize, shift_left, text_or_empty, words
 
 
 @dataclass(frozen=True)
@@ -106,8 +106,9 @@ def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits
 
 def keep(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    good = judge(docs, host, limits).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text_or_empty()) == F.col("__hash"))
+    own, hashed = free_names(docs, "__id", "__hash")
+    good = judge(docs, host, limits).filter("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty()) == F.col(hashed))
     return docs.join(good, same, "left_semi")
 
 

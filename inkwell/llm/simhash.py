@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import materialize, table
+from inkwell.llm.common import free_names, materialize, table
 
 LIMIT, PARTS, DENSE, PIECE = 2, 3, 2048, 200_000
 LONG = T.LongType()
@@ -303,8 +303,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component; repeated rows of it once."""
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    (own,) = free_names(docs, "__id")
+    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id"])
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
