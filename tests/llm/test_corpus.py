@@ -5,10 +5,12 @@ import random
 import struct
 import zlib
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -69,10 +71,10 @@ def multiset(rows):
     return Counter(map(tuple, rows))
 
 
-def test_quality_rules(spark, corpus):
+def quality_by_hand(docs):
     holders, first = {}, {}
     norm = lambda line: " ".join(words(line)).lower()
-    for d in DOCS:
+    for d in docs:
         for line in (d[1] or "").split("\n"):
             if words(line):
                 k = (d[2], norm(line))
@@ -80,7 +82,7 @@ def test_quality_rules(spark, corpus):
                 if d[0] is not None:
                     first[k] = min(first.get(k, d[0]), d[0])
     want = []
-    for d in DOCS:
+    for d in docs:
         w = words(d[1])
         grams = list(zip(w, w[1:], w[2:]))
         n = Counter(grams)
@@ -90,7 +92,11 @@ def test_quality_rules(spark, corpus):
         failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
         share = 1 - lost / len(w) if w else 1
         want.append((d[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in d[1] or ""), len(lines) - len(set(lines)), len(repeated), failed, not failed and share >= 0.3))
-    assert multiset(quality_rules.op1(spark, corpus).collect()) == multiset(want)
+    return want
+
+
+def test_quality_rules(spark, corpus):
+    assert multiset(quality_rules.op1(spark, corpus).collect()) == multiset(quality_by_hand(DOCS))
 
 
 def test_quality_rules_reject_what_is_only_frequent_lines(spark):
@@ -102,7 +108,7 @@ def test_quality_rules_reject_what_is_only_frequent_lines(spark):
 
 def fingerprint_by_hand(text):
     w = words(text)
-    chain = lambda ws: __import__("functools").reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), h), ws, 42)
+    chain = lambda ws: reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), h), ws, 42)
     grams = [chain(w[i : i + 5]) for i in range(len(w) - 4)] or ([chain(w)] if w else [])
     signed = [g - (1 << 64) if g >> 63 else g for g in grams]
     cut = [s >> 24 for s in signed]
@@ -136,14 +142,11 @@ def test_winnowing_of_one_document_follows_itself(spark):
     assert (row["text"], row["next"]) == ("abc", "abc")
 
 
-def test_mixing(spark, corpus):
-    got = mixing.op3(spark, corpus).collect()
-    again = mixing.op3(spark, corpus).collect()
-    assert Counter(got) == Counter(again)
+def targets_by_hand(docs):
     sizes = Counter()
-    for d in DOCS:
+    for d in docs:
         sizes[d[2]] += len(words(d[1]))
-    names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None]
+    names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     target, free, rest = {}, set(names), sum(sizes.values())
     while True:
@@ -155,14 +158,21 @@ def test_mixing(spark, corpus):
             target[s] = 3 * sizes[s]
             free.discard(s)
         rest -= sum(target[s] for s in over)
-    target |= {s: weight[s] * rest / total for s in free}
+    return sizes, target | {s: weight[s] * rest / total for s in free}
+
+
+def test_mixing(spark, corpus):
+    got = mixing.op3(spark, corpus).collect()
+    again = mixing.op3(spark, corpus).collect()
+    assert Counter(got) == Counter(again)
+    sizes, target = targets_by_hand(DOCS)
     source = {d[0]: d[2] for d in DOCS}
     taken = Counter()
     for r in got:
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 3 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
 
 
 def test_mixed_repeats_whole_documents(spark, corpus):
@@ -200,30 +210,34 @@ def test_warc_segments_and_damage():
     assert whole([*warc._rows(bad + b"\r\n\r\n"), *rows[1:]])["problem"] == "the digest differs from the record's"
 
 
-def test_simhash(spark, corpus):
+def groups_by_hand(docs):
     def by_hand(text):
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
         s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
         h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
-    fps = [by_hand(d[1]) for d in DOCS]
-    root = list(range(len(DOCS)))
+    fps = [by_hand(d[1]) for d in docs]
+    root = list(range(len(docs)))
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(DOCS)):
+    for i in range(len(docs)):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= 2:
                 root[find(i)] = find(j)
     least = {}
-    for i, d in enumerate(DOCS):
+    for i, d in enumerate(docs):
         if d[0] is not None:
             least[find(i)] = min(least.get(find(i), d[0]), d[0])
-    want = [(d[0], f"{fps[i]:016x}", least.get(find(i))) for i, d in enumerate(DOCS)]
+    return [(d[0], f"{fps[i]:016x}", least.get(find(i))) for i, d in enumerate(docs)]
+
+
+def test_simhash(spark, corpus):
+    want = groups_by_hand(DOCS)
     assert multiset(simhash.op5(spark, corpus).collect()) == multiset(want)
 
 
@@ -261,14 +275,16 @@ def test_simhash_thresholds_cover_every_pair():
     assert (chosen.sum(1) == 0).all() and chosen.min() >= -1
 
 
-def test_line_dedup(spark, corpus):
+def lines_by_hand(docs):
+    """For each document its lines and those that stay."""
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(SPACE))
-    held = Counter(k for d in DOCS for k in {key(x) for x in (d[1] or "").split("\n")} if k)
-    want = []
-    for d in DOCS:
-        lines = (d[1] or "").split("\n")
-        left = [x for x in lines if held[key(x)] < 10]
-        want.append((d[0], len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    held = Counter(k for d in docs for k in {key(x) for x in (d[1] or "").split("\n")} if k)
+    return [((d[1] or "").split("\n"), [x for x in (d[1] or "").split("\n") if held[key(x)] < 10]) for d in docs]
+
+
+def test_line_dedup(spark, corpus):
+    found = zip(DOCS, lines_by_hand(DOCS))
+    want = [(d[0], len(a), len(a) - len(b), hashlib.sha256("\n".join(b).encode()).hexdigest()) for d, (a, b) in found]
     assert any(w[2] for w in want)
     assert multiset(line_dedup.op6(spark, corpus).collect()) == multiset(want)
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
@@ -354,7 +370,7 @@ def test_url_filter(spark, corpus):
     rows = df.select(url_model.matched(url_model.host(df["url"]), url_model.path(df["url"]), rules).alias("m")).collect()
     assert [r["m"]["verdict"] if r["m"] else None for r in rows] == list(urls.values())
     for u in ("http://A.b/c?d#e", "x", None, "a://b#c/d", "a://b?c/d", "://q/w"):
-        row = spark.createDataFrame([(u,)], "url string").select(url_model.host(df["url"].__class__("url") if False else __import__("pyspark.sql.functions", fromlist=["col"]).col("url")), url_model.path(__import__("pyspark.sql.functions", fromlist=["col"]).col("url"))).first()
+        row = spark.createDataFrame([(u,)], "url string").select(url_model.host(F.col("url")), url_model.path(F.col("url"))).first()
         assert tuple(row) == url_model.split_url(u)
 
 
@@ -400,10 +416,32 @@ def test_lexicon_is_minimal_and_exact():
     assert len(lexicon.final) == len(suffixes)
 
 
+def pipeline_by_hand(docs):
+    docs = [d for d, w in zip(docs, quality_by_hand(docs)) if w[-1]]
+    docs = [(d[0], d[1] if len(a) == len(b) else "\n".join(b), *d[2:]) for d, (a, b) in zip(docs, lines_by_hand(docs))]
+    docs = list({d[0]: d for d, g in zip(docs, groups_by_hand(docs)) if g[0] == g[2]}.values())
+    sizes, target = targets_by_hand(docs)
+    out = []
+    for s in sizes:
+        own = sorted((d for d in docs if d[2] == s), key=lambda d: hashlib.md5(f"mix:{'' if d[0] is None else d[0]}".encode()).hexdigest())
+        whole = int(target[s] // sizes[s]) if sizes[s] else 0
+        room = int(target[s] + 0.5) - whole * sizes[s]
+        for d in own:
+            n = len(words(d[1]))
+            extra = max(0, min(n, room))
+            room -= n
+            out += [d] * (whole + (extra > 0 and 2 * extra >= n))
+    reference, rows = Tokenizer.from_file(bpe.default_path()), []
+    for d in out:
+        ids = reference.encode(d[1] or "", add_special_tokens=False).ids
+        rows.append((d[0], len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((d[1] or "").encode()).hexdigest()))
+    return rows
+
+
 def test_pipeline(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, corpus).columns == docs.columns, name
-    out = corpus_pipeline.run(spark, corpus)
-    kept = {r["doc_id"] for r in quality_rules.op1(spark, corpus).collect() if r["kept"]}
-    assert {r["doc_id"] for r in out.collect()} <= kept and out.count() > 0
+    want = pipeline_by_hand(DOCS)
+    assert len(want) > 50
+    assert multiset(corpus_pipeline.run(spark, corpus).collect()) == multiset(want)
