@@ -56,22 +56,37 @@ class Engine:
         self.state.write("logic_keys", elements.select("element_key").distinct())
         return self.state.read("logic")
 
-    def llm(self, elements: DataFrame) -> DataFrame:
-        """Diagnostics of the model's review; only sentences without a review under these settings are asked."""
+    def llm(self, elements: DataFrame, parts: int = 1, progress: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Diagnostics of the model's review; only sentences without a review under these settings are asked.
+
+        They are asked in `parts`; after each, reviews and diagnostics so far are saved, and the latter given to progress.
+        """
         sentences, signature = checks.sentences(elements), incremental.config_signature(self.settings)
         known = self.state.read("reviews")
         if known is not None and self.state.facts("reviews").get("signature") != signature:
             known = None
-        if self.provider is not None and self.settings.llm_enabled:
-            todo = sentences if known is None else sentences.join(known.select("element_key"), "element_key", "left_anti")
+        asks = self.provider is not None and self.settings.llm_enabled
+        for i in range(parts if asks else 0):
+            todo = sentences.filter(F.pmod(F.xxhash64("element_key"), F.lit(parts)) == i)
+            todo = todo if known is None else todo.join(known.select("element_key"), "element_key", "left_anti")
             answers = stage(review.reviewed(todo, self.provider, self.settings.review_mode, self.settings.provider), "answers")
             good = answers.filter("error IS NULL").drop("error")
             kept = good if known is None else known.join(sentences.select("element_key"), "element_key", "left_semi").unionByName(good)
             self.state.write("reviews", kept, signature=signature)
             known = self.state.read("reviews")
+            if i < parts - 1:
+                found = self._reviewed(sentences, known)
+                if progress is not None:
+                    progress(found)
         if known is None:
-            empty = self.spark.createDataFrame([], "element_key string, provider string, raw string")
-            known = empty
+            known = self.spark.createDataFrame([], "element_key string, provider string, raw string")
+        found = self._reviewed(sentences, known)
+        if asks and progress is not None:
+            progress(found)
+        return found
+
+    def _reviewed(self, sentences: DataFrame, known: DataFrame) -> DataFrame:
+        """Save and return the diagnostics of the known reviews."""
         rows = review.parsed_answers(sentences.join(known, "element_key"))
         found = review.diagnostics(review.accepted(review.issues(rows), self.settings.review_mode)).withColumn("ord", F.lit(0))
         self.state.write("llm", found)

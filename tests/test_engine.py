@@ -80,6 +80,14 @@ def test_failed_reviews_are_asked_again(spark, tmp_path):
     assert other.full(data).filter("rule = 'llm'").count() == 0
 
 
+def test_reviews_in_parts_are_saved_as_they_come(spark, engine):
+    elements = engine.parse(files(spark, {"a": "本文非常非常好。\n模型非常非常好。\n这里没有错。\n数据非常非常多。"}))
+    seen = []
+    out = engine.llm(elements, parts=3, progress=lambda df: seen.append(df.count()))
+    assert len(seen) == 3 and seen == sorted(seen) and seen[-1] == out.count() == 3
+    assert engine.state.read("reviews").count() == 4
+
+
 def test_publish_restore_export(spark, engine, tmp_path):
     out = engine.full(files(spark, {"a": "No end here\n本文非常非常好。", "b": "CNN works."}))
     assert sorted(map(str, engine.publish(out).collect())) == sorted(map(str, engine.restore().collect()))
