@@ -15,6 +15,7 @@ from inkwell.functions import text as X
 from inkwell.operators import checks, incremental, parser, reports, review
 from inkwell.schema import RANGE
 from inkwell.sources import files as sources
+from inkwell.sources.state import stage
 from inkwell.streaming import saves
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,7 +215,7 @@ def document_elements(spark, sf_dir):
 
 @query()
 def document_diagnostics(spark, sf_dir):
-    elements = parser.elements(sources.documents(table(spark, sf_dir, "documents")))
+    elements = stage(parser.elements(sources.documents(table(spark, sf_dir, "documents"))), "elements")  # four checks read it
     return checks.analyze(elements).select("file_path", "seq", "rule", "message")
 
 
