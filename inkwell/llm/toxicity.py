@@ -1,24 +1,26 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are lower-cased runs of letters and digits that labelled toxic examples hold at least `lift`
-times as often as examples in general, with a chi-square of at least `chi`. Examples and texts are
-vectors of (1 + log count) * idf over these terms, scaled to length 1.
+Terms are all lower-cased runs of letters and digits of the labelled examples; none is left out.
+Examples and texts are vectors of (1 + log count) * idf * pull over these terms, scaled to length 1,
+where pull is the root of the chi-square with label 1 of a term that leans to it, and `least` of any
+other and at least, so that no term weighs nothing. All labelled examples are in the index.
 
-The examples' inverted index is cut into blocks of 64; for every term each block has its largest
-weight. A text's sum of these bounds any similarity inside a block; blocks are taken by falling bound,
-scored exactly, and left when the bound falls under the k-th best so far, so the k nearest are exact
-(ties: the example that comes first).
+The index holds the examples by term and the terms by example. A text's terms are taken by falling
+bound of what they can add to a similarity; they are left when what the rest can add, by the terms'
+largest weights or by the length of the rest, lets few examples reach the k-th best so far. These are
+scored over all their terms, so the k nearest are exact (ties: the example that comes first).
 
 The vote is the similarity-weighted share of toxic neighbours, with a fixed weight of doubt for
 far ones; isotonic regression on a quarter of the sample, which is in neither terms nor examples, makes
 it a probability. The nearest examples are the evidence.
 
-Bounds: at most `bound` labelled documents (a documented parameter) and `terms` terms. They fit the
-driver and every worker; all documents are scored on their whole texts.
+Bounds: at most `bound` labelled ids (a documented parameter), with all words of their texts. They fit
+the driver and every worker; all documents are scored on their whole texts.
 
-Defined results: null and empty texts, and those without a term, get the score of texts without a
-term; repeated rows get equal rows; without labels every score is 0; an empty table gives an empty
-result; extra columns are ignored.
+Defined results: null and empty texts, and those without a word of any example, get the score of texts
+without a term; repeated rows get equal rows and count as one example, different texts of an id as
+several; without labels every score is 0; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import materialize, table
+from inkwell.llm.common import table
 from inkwell.llm.labels import labelled, remainder
 
-BOUND, TERMS, CHI, LIFT, LEAST, K, DOUBT, BLOCK, THRESHOLD = 8_192, 4_096, 24.0, 2.0, 3, 15, 1.0, 64, 0.5
+BOUND, LEAST, K, DOUBT, BLOCK, THRESHOLD = 8_192, 0.1, 15, 1.0, 16, 0.5
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,22 +48,19 @@ def words(text: str | None) -> Iterator[str] | list[str]:
 
 
 class Index:
-    """Examples by term and block. vectors: for each example, term numbers and weights."""
+    """Examples by term and terms by example. vectors: for each example, term numbers, rising, and weights."""
 
     def __init__(self, terms: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, block: int = BLOCK):
         self.terms, self.idf, self.labels, self.ids, self.block = terms, idf, labels, ids, block
-        self.blocks = max(1, -(-len(vectors) // block))
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, (at, weights) in enumerate(vectors):
-            for t, w in zip(at.tolist(), weights.tolist()):
-                lists[t].append((i, w))
-        self.postings, self.begin = [], np.zeros((len(terms), self.blocks + 1), np.int32)
-        self.most = np.zeros((len(terms), self.blocks))
-        for t, found in enumerate(lists):
-            docs, weights = np.array([i for i, _ in found], np.int32), np.array([w for _, w in found])
-            self.postings.append((docs, weights))
-            self.begin[t] = np.searchsorted(docs, np.arange(self.blocks + 1) * block)
-            np.maximum.at(self.most[t], docs // block, weights)
+        self.size = np.array([len(at) for at, _ in vectors], np.int64)
+        self.own_at = np.concatenate([np.zeros(0, np.int32), *[at for at, _ in vectors]]).astype(np.int32)
+        self.own = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        self.start = np.append(0, np.cumsum(self.size))
+        turned = np.argsort(self.own_at, kind="stable")
+        self.docs, self.by_term = np.repeat(np.arange(len(vectors), dtype=np.int32), self.size)[turned], self.own[turned]
+        self.begin = np.append(0, np.cumsum(np.bincount(self.own_at, minlength=len(terms))))
+        self.most = np.zeros(len(terms))
+        np.maximum.at(self.most, self.own_at, self.own)
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Of a text's counts: term numbers, rising, and weights."""
@@ -72,23 +71,32 @@ class Index:
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest similarity above 0 and their similarities, best first."""
-        bounds = weights @ self.most[at] if len(at) else np.zeros(self.blocks)
-        best_sim, best_at, least = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_sim) >= k and bounds[b] < least - 1e-9:
-                break
-            sims = np.zeros(self.block)
-            for t, w in zip(at.tolist(), weights.tolist()):
-                lo, hi = self.begin[t, b], self.begin[t, b + 1]
-                if lo < hi:
-                    docs, own = self.postings[t]
-                    sims[docs[lo:hi] - b * self.block] += w * own[lo:hi]
-            hit = np.nonzero(sims > 0)[0]
-            best_sim, best_at = np.append(best_sim, sims[hit]), np.append(best_at, hit + b * self.block)
-            order = np.lexsort((best_at, -best_sim))[:k]
-            best_sim, best_at = best_sim[order], best_at[order]
-            least = best_sim[-1] if len(best_sim) >= k else 0.0
-        return best_at, best_sim
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(-weights * self.most[at], kind="stable")
+        terms, pull = at[order], weights[order]
+        after = lambda x: np.append(np.cumsum(x[::-1])[::-1], 0)
+        rest = np.minimum(after(pull * self.most[terms]), np.sqrt(after(pull**2)))
+        lows, highs = self.begin[terms], self.begin[terms + 1]
+        left = after(highs - lows)
+        sims = np.zeros(len(self.size))
+        for i, (lo, hi, w) in enumerate(zip(lows.tolist(), highs.tolist(), pull.tolist()), 1):
+            sims[self.docs[lo:hi]] += w * self.by_term[lo:hi]
+            if i % self.block == 0 or i == len(terms):
+                least = np.partition(sims, -k)[-k] if len(sims) > k else 0.0
+                if i == len(terms) or least > rest[i]:
+                    near = np.nonzero((sims > 0) & (sims + rest[i] >= least - 1e-9))[0]
+                    if i == len(terms) or self.size[near].sum() <= left[i]:
+                        break
+        if not len(near):
+            return np.zeros(0, np.int64), np.zeros(0)
+        sizes = self.size[near]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(self.start[near] - ends + sizes, sizes)
+        found = np.minimum(np.searchsorted(at, self.own_at[places]), len(at) - 1)
+        exact = np.add.reduceat(np.where(at[found] == self.own_at[places], weights[found] * self.own[places], 0.0), ends - sizes)
+        best = np.lexsort((near, -exact))[:k]
+        return near[best], exact[best]
 
     def vote(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[float, np.ndarray]:
         near, sims = self.nearest(at, weights, k)
@@ -126,42 +134,43 @@ class Model:
 
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for text, label, place, own in zip(*(c.to_pylist() for c in batch.columns)):
-            found = Counter(words(text))
-            n = len(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([own] * n, pa.int64()), pa.array([label] * n, pa.int32()), pa.array([place] * n, pa.int32()), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())],
-                ["doc_id", "label", "place", "word", "n"],
-            )
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int = BOUND, terms: int = TERMS, chi: float = CHI, lift: float = LIFT, least: int = LEAST) -> Model:
-    sample, size = labelled(docs, labels, label, held_out, bound)
-    rows = sample.select("text", "label", "place", F.col("doc_id").cast("long")).mapInArrow(_counted, "doc_id long, label int, place int, word string, n long")
-    rows = materialize(rows, "toxicity-sample")
-    fitted = F.col("place") % 4 != 3
-    known = rows.select("place", "label", "doc_id").distinct().collect()  # `bound` rows
-    total, toxic = sum(r["place"] % 4 != 3 for r in known), sum(r["label"] for r in known if r["place"] % 4 != 3)
+        found = [Counter(words(text)) for text in batch.column(0).to_pylist()]
+        lists = [pa.array([list(c.keys()) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], ["hash", "doc_id", "label", "place", "word", "n"])
+
+
+def weights_of(df: np.ndarray, dt: np.ndarray, total: int, toxic: int, least: float = LEAST) -> np.ndarray:
+    """Of terms in df examples, dt of them toxic: idf * pull."""
+    share = df * (toxic / total)
+    square = (dt - share) ** 2 / share + (dt - share) ** 2 / np.maximum(df - share, 1e-9)
+    return (np.log((1 + total) / (1 + df)) + 1) * np.maximum(np.where(dt > share, np.sqrt(square), 0.0), least)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, held_out, bound: int = BOUND, least: float = LEAST) -> Model:
+    sample, _ = labelled(docs, labels, label, held_out, bound)
+    texts = sample.select("text", F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long"), "label", "place").distinct()
+    # the words of `bound` ids
+    known = texts.mapInArrow(_counted, "hash long, doc_id long, label int, place int, word array<string>, n array<int>").toArrow()
+    known = known.sort_by([("place", "ascending"), ("hash", "ascending")])
+    place, truth, ids = (known[c].to_numpy() for c in ("place", "label", "doc_id"))
+    learned = place % 4 != 3
+    total, toxic = int(learned.sum()), int(truth[learned].sum())
     if not toxic:
         return Model(Index({}, np.zeros(0), [], np.zeros(0), np.zeros(0, np.int64)), np.zeros(1), np.zeros(1))
-    share = F.col("df") * (toxic / total)
-    square = (F.col("dt") - share) ** 2 / share + (F.col("dt") - share) ** 2 / F.greatest(F.col("df") - share, F.lit(1e-9))
-    counted = rows.filter(fitted).groupBy("word").agg(F.count("*").alias("df"), F.sum("label").alias("dt"))
-    chosen = counted.filter((F.col("df") >= least) & (F.col("dt") > lift * share)).withColumn("chi", square).filter(F.col("chi") >= chi)
-    found = chosen.orderBy(F.desc("chi"), "word").limit(terms).collect()
-    numbers = {r["word"]: i for i, r in enumerate(found)}
-    idf = np.array([np.log((1 + total) / (1 + r["df"])) + 1 for r in found])
-    held = docs.sparkSession.createDataFrame([(w,) for w in numbers], "word string")
-    counts: dict[int, dict[int, int]] = {}
-    for r in rows.join(F.broadcast(held), "word").select("place", "word", "n").collect():  # up to `bound` examples, over the chosen terms
-        counts.setdefault(r["place"], {})[numbers[r["word"]]] = r["n"]
-    known.sort(key=lambda r: r["place"])
-    examples = [r for r in known if r["place"] % 4 != 3 and r["place"] in counts]
-    index = Index(numbers, idf, [weighted(counts[r["place"]], idf) for r in examples], np.array([r["label"] for r in examples], float), np.array([r["doc_id"] for r in examples], np.int64))
-    rest = [r for r in known if r["place"] % 4 == 3]
-    votes = np.array([index.vote(*weighted(counts.get(r["place"], {}), idf))[0] for r in rest])
+    counts = lambda i: zip(known["word"][int(i)].as_py(), known["n"][int(i)].as_py())
+    seen, bad = Counter(), Counter()
+    for i in np.nonzero(learned)[0]:
+        found = [w for w, _ in counts(i)]
+        seen.update(found)
+        if truth[i]:
+            bad.update(found)
+    numbers = {w: i for i, w in enumerate(seen)}
+    idf = weights_of(np.array([*seen.values()], float), np.array([bad[w] for w in seen], float), total, toxic, least)
+    vectors = [weighted({numbers[w]: n for w, n in counts(i)}, idf) for i in np.nonzero(learned)[0]]
+    index = Index(numbers, idf, vectors, truth[learned].astype(float), ids[learned])
+    votes = np.array([index.vote(*index.vector(dict(counts(i))))[0] for i in np.nonzero(~learned)[0]])
     # one row of doubt at either end keeps the chances inside 0 and 1
-    votes, truth = np.append(votes, [0.0, 1.0]), np.append([float(r["label"]) for r in rest], [0.0, 1.0])
+    votes, truth = np.append(votes, [0.0, 1.0]), np.append(truth[~learned].astype(float), [0.0, 1.0])
     return Model(index, *isotonic(votes, truth))
 
 

@@ -341,6 +341,24 @@ def test_toxicity(spark, corpus, tmp_path):
     assert len(edge) == len(DOCS) and all(0 <= r["score"] <= 1 for r in edge)
 
 
+def test_toxicity_keeps_every_word_and_example(spark):
+    # "seldom" is in too few examples for a large chi-square; clean texts hold no word that leans to label 1
+    rows = [(i, f"clean words {prose(20)} plain{i % 50}", 0) for i in range(400)] + [(i, f"vile {prose(20)}", 1) for i in range(400, 460)] + [(i, "seldom", 1) for i in range(460, 464)] + [(464, "", 0)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, "toxic", F.lit(False))
+    index = model.index
+    assert len(index.ids) == 349 and (index.labels == 0).sum() > 250
+    assert {w for i in index.ids for w in toxicity.words(rows[i][1])} == set(index.terms) and (index.idf > 0).all()
+    vectors = [index.query(rows[i][1]) for i in index.ids]
+    for text in [r[1] for r in rows[::9]] + ["seldom", "plain7", "clean vile seldom"]:
+        at, w = index.query(text)
+        q = np.zeros(len(index.terms))
+        q[at] = w
+        sims = sorted((float(q[a] @ x) for a, x in vectors if float(q[a] @ x) > 0), reverse=True)[:15]
+        assert np.allclose(index.nearest(at, w)[1], sims)
+    assert all(rows[i][1] == "seldom" for i in model.score("seldom")[1][:1]) and len(model.score("plain7")[1]) == 3
+
+
 def test_nearest_examples_are_exact():
     terms = {f"t{i}": i for i in range(40)}
     idf = np.array([rng.random() + 1 for _ in terms])
