@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import free_names, materialize, table
+from inkwell.llm.common import free_names, materialize, table, text_or_empty
 
 LIMIT, PARTS, DENSE, PIECE = 2, 3, 2048, 200_000
 LONG = T.LongType()
@@ -302,10 +302,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component; repeated rows of it once."""
-    (own,) = free_names(docs, "__id")
-    first = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").dropDuplicates(["doc_id"])
+    """A document of each component: that with the smallest doc_id, a null last, of the smallest text hash; repeated rows of it once.
+
+    A component is known by its root fingerprint, a document by its doc_id and text hash, so that documents
+    with null or repeated ids in different components all stay.
+    """
+    own, hashed, group = free_names(docs, "__id", "__hash", "__root")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64(text_or_empty()).alias("text_hash")).alias("doc_id"), "text")
+    rows = fingerprints(keyed).select("fp", F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id").alias("id"), F.col("doc_id.text_hash").alias("hash")).alias("doc"))
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc").alias("doc")), "simhash-distinct")
+    nodes = materialize(components(links(fps)), "simhash-components")
+    rooted = fps.join(nodes, fps["fp"] == nodes["node"], "left").select(F.coalesce("root", "fp").alias("root"), "doc")
+    first = rooted.groupBy("root").agg(F.min("doc").alias("doc")).select(F.col("root").alias(group), F.col("doc.id").alias(own), F.col("doc.hash").alias(hashed))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty()) == F.col(hashed))
+    return docs.join(first, same).dropDuplicates([group]).select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

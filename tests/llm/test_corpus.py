@@ -434,6 +434,17 @@ def test_lexicon_is_minimal_and_exact():
     assert len(lexicon.final) == len(suffixes)
 
 
+def test_one_document_of_each_group_stays(spark):
+    texts = [prose(90).replace("\n", " ") for _ in range(8)]
+    rows = [(None, texts[0], "a"), (None, texts[1], "b"), (None, texts[1], "b"), (None, texts[2], "c")]  # different groups of null ids
+    rows += [(5, texts[3], "d"), (5, texts[4], "e"), (6, texts[5], "f"), (5, texts[4], "e"), (7, texts[4] + " ", "g")]  # an id with two texts
+    rows += [(1, texts[6], "h"), (9, texts[6], "i"), (9, texts[7], "j"), (None, texts[7], "k")]  # 9 is a copy in one group and first in another
+    rows += [(None, None, "l"), (None, "", "l")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, __root string"))
+    assert got.columns == ["doc_id", "text", "__root"]
+    assert sorted(r["__root"] for r in got.collect()) == list("abcdefhjl")
+
+
 def pipeline_by_hand(docs):
     docs = [d for d, w in zip(docs, quality_by_hand(docs)) if w[-1]]
     docs = [(d[0], d[1] if len(a) == len(b) else "\n".join(b), *d[2:]) for d, (a, b) in zip(docs, lines_by_hand(docs))]
