@@ -1,7 +1,7 @@
 """Quality rules: per-document counts and cross-document line frequency, in DataFrame functions only.
 
 Method: every line is normalised (ASCII white space collapsed and stripped, lower case) and hashed
-together with its host; the number of different documents of that host that hold the line is
+together with its host; the number of different texts of that host that hold the line is
 counted; the words on lines above the limit count as lost (texts stay as they are); a document that
 loses too many of its words is rejected. Exact copies of a text count as one document, and the document with the smallest doc_id
 that holds a line keeps it, so that of a group of copies one always stays.
