@@ -1,6 +1,7 @@
 """The corpus operators against plain Python, on a small corpus with nulls, empty, long, repeated and tied rows."""
 
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -8,7 +9,9 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -325,6 +328,40 @@ def test_quality_model(spark, corpus, tmp_path):
     assert len(edge) == len(DOCS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in edge)
 
 
+def toxicity_by_hand(docs, labels, bound=toxicity.BOUND, k=toxicity.K):
+    """(score, evidence) of each text: every labelled example is compared with every text, in dictionaries."""
+    signed = lambda data: (h := xxhash.xxh64_intdigest(data, 42)) - (h >> 63 << 64)
+    counts = lambda t: Counter(regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()))
+    known = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5}
+    place = {i: n for n, i in enumerate(sorted(known, key=lambda i: (signed(struct.pack("<q", i)), i))[:bound])}
+    rows = sorted({(place[i], signed((t or "").encode()) if t is not None else 42, t, i) for i, t in docs if i in place}, key=lambda r: r[:2])
+    learned, rest = [r for r in rows if r[0] % 4 != 3], [r for r in rows if r[0] % 4 == 3]
+    total, toxic = len(learned), sum(known[r[3]] for r in learned)
+    df = Counter(w for r in learned for w in counts(r[2]))
+    dt = Counter(w for r in learned if known[r[3]] for w in counts(r[2]))
+    weight = {}
+    for w, n in df.items():
+        share = n * toxic / total
+        square = (dt[w] - share) ** 2 / share + (dt[w] - share) ** 2 / max(n - share, 1e-9)
+        weight[w] = (math.log((1 + total) / (1 + n)) + 1) * max(math.sqrt(square) if dt[w] > share else 0, toxicity.LEAST)
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in counts(t).items() if w in weight}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    examples = [(vector(r[2]), known[r[3]], r[3]) for r in learned]
+
+    def vote(t):
+        v = vector(t)
+        sims = [sum(x * e.get(w, 0) for w, x in v.items()) for e, _, _ in examples]
+        best = [i for i in sorted(range(total), key=lambda i: (-round(sims[i], 9), i)) if sims[i] > 0][:k]
+        return sum(sims[i] * examples[i][1] for i in best) / (sum(sims[i] for i in best) + toxicity.DOUBT), [examples[i][2] for i in best]
+
+    points, chances = toxicity.isotonic(np.array([*(vote(r[2])[0] for r in rest), 0, 1]), np.array([*(known[r[3]] for r in rest), 0, 1], float))
+    return lambda t: (float(np.interp((v := vote(t))[0], points, chances)), v[1])
+
+
 def test_toxicity(spark, corpus, tmp_path):
     def make(i):
         bad = rng.random() < 0.2
@@ -337,43 +374,73 @@ def test_toxicity(spark, corpus, tmp_path):
     assert len(got) == 900 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
     assert all(r["evidence"] and truth[r["evidence"][0]] for r in got if r["predicted"])
-    edge = toxicity.op9(spark, corpus).collect()
-    assert len(edge) == len(DOCS) and all(0 <= r["score"] <= 1 for r in edge)
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    by_hand = toxicity_by_hand(list(text.items()), dict(enumerate(truth)))
+    for r in got[::7]:
+        score, evidence = by_hand(text[r["doc_id"]])
+        assert abs(r["score"] - score) < 1e-9 and r["evidence"] == evidence
+
+
+def test_toxicity_of_edge_cases_by_hand(spark, corpus):
+    known = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{corpus}/labels.parquet").collect() if None not in (r["doc_id"], r["toxic"])]
+    labels = {i: max(y for j, y in known if i == j) for i, _ in known}
+    by_hand = toxicity_by_hand([d[:2] for d in DOCS if d[0] is not None], labels)
+    rows = toxicity.op9(spark, corpus).join(spark.read.parquet(f"{corpus}/documents.parquet").select("doc_id", "text").distinct(), "doc_id").collect()
+    single = {i for i, n in Counter(i for i, _ in {d[:2] for d in DOCS}).items() if n == 1}
+    for r in rows:
+        if r["doc_id"] in single:
+            score, evidence = by_hand(r["text"])
+            assert abs(r["score"] - score) < 1e-9 and r["evidence"] == evidence, r["doc_id"]
+    assert toxicity.op9(spark, corpus).count() == len(DOCS)
 
 
-def test_toxicity_keeps_every_word_and_example(spark):
+def fitted(texts, truth):
+    found = [(i, w) for owners, ws in toxicity.words(texts) for i, w in zip(owners.tolist(), ws.to_pylist())]
+    owner = np.array([i for i, _ in found])
+    return toxicity.fit_counts(len(texts), owner, pa.array([w for _, w in found]), np.ones(len(found), np.int64), np.array(truth), np.arange(len(texts)), np.arange(len(texts)) % 4 != 3)
+
+
+def test_toxicity_keeps_every_word_and_example():
     # "seldom" is in too few examples for a large chi-square; clean texts hold no word that leans to label 1
-    rows = [(i, f"clean words {prose(20)} plain{i % 50}", 0) for i in range(400)] + [(i, f"vile {prose(20)}", 1) for i in range(400, 460)] + [(i, "seldom", 1) for i in range(460, 464)] + [(464, "", 0)]
-    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, "toxic", F.lit(False))
+    texts = [f"clean words {prose(20)} plain{i % 50}" for i in range(400)] + [f"vile {prose(20)}" for _ in range(60)] + ["seldom"] * 4 + [""]
+    model = fitted(texts, [0] * 400 + [1] * 64 + [0])
     index = model.index
     assert len(index.ids) == 349 and (index.labels == 0).sum() > 250
-    assert {w for i in index.ids for w in toxicity.words(rows[i][1])} == set(index.terms) and (index.idf > 0).all()
-    vectors = [index.query(rows[i][1]) for i in index.ids]
-    for text in [r[1] for r in rows[::9]] + ["seldom", "plain7", "clean vile seldom"]:
-        at, w = index.query(text)
-        q = np.zeros(len(index.terms))
-        q[at] = w
-        sims = sorted((float(q[a] @ x) for a, x in vectors if float(q[a] @ x) > 0), reverse=True)[:15]
-        assert np.allclose(index.nearest(at, w)[1], sims)
-    assert all(rows[i][1] == "seldom" for i in model.score("seldom")[1][:1]) and len(model.score("plain7")[1]) == 3
-
-
-def test_nearest_examples_are_exact():
-    terms = {f"t{i}": i for i in range(40)}
-    idf = np.array([rng.random() + 1 for _ in terms])
-    vectors = [toxicity.weighted({t: rng.randint(1, 4) for t in rng.sample(range(40), rng.randint(1, 9))}, idf) for _ in range(500)]
-    index = toxicity.Index(terms, idf, vectors, np.zeros(500), np.arange(500), block=16)
-    dense = np.zeros((500, 40))
-    for i, (at, w) in enumerate(vectors):
-        dense[i, at] = w
-    for _ in range(50):
-        at, w = toxicity.weighted({t: 1 for t in rng.sample(range(40), rng.randint(1, 6))}, idf)
-        sims = dense[:, at] @ w
+    every = {w for i in index.ids for w in regex.findall(r"[\p{L}\p{N}]+", texts[i].lower())}
+    assert every == set(index.terms.to_pylist()) and (index.idf > 0).all()
+    scores, evidence = model.score(["seldom", "plain7", "nobody knows"])
+    assert all(texts[i] == "seldom" for i in evidence[0]) and evidence[1] and evidence[2] == [] and scores[0] > scores[1] >= scores[2]
+
+
+@pytest.mark.parametrize("block, dense, group", [(16, 1 / 8, 1 << 21), (64, 2.0, 1), (4, 0.0, 2000)])
+def test_nearest_examples_are_exact(monkeypatch, block, dense, group):
+    monkeypatch.setattr(toxicity, "GROUP", group)
+    idf = np.array([rng.random() + 1 for _ in range(40)])
+    draw = lambda n: {t: rng.randint(1, 4) for t in rng.sample(range(40), n)}
+
+    def vectors(rows):
+        keys = sorted((i * 40 + t, n) for i, r in enumerate(rows) for t, n in r.items())
+        return toxicity.Vectors.counted(len(rows), np.array([k for k, _ in keys]), np.array([n for _, n in keys]), idf)
+
+    rows = [draw(rng.randint(1, 9)) for _ in range(480)]
+    examples, queries = vectors(rows + rows[:20]), vectors([draw(rng.randint(0, 6)) for _ in range(60)] + [{}])
+    full = np.zeros((2, 500, 40))
+    for i, v in enumerate((examples, queries)):
+        full[i][np.repeat(np.arange(len(v)), np.diff(v.start)), v.at] = v.weight
+    index = toxicity.Index(pa.array([str(i) for i in range(40)]), idf, examples, np.zeros(500), np.arange(500), block, dense)
+    near, found = index.nearest(queries)
+    for q in range(61):
+        sims = full[0] @ full[1][q]
         want = [i for i in sorted(range(500), key=lambda i: (-round(sims[i], 9), i)) if sims[i] > 0][:15]
-        got, found = index.nearest(at, w)
-        assert np.allclose(found, sims[want]) and len(got) == len(want)
-    assert len(index.nearest(*toxicity.weighted({}, idf))[0]) == 0
+        assert near[q].tolist() == want + [-1] * (15 - len(want)) and np.allclose(found[q][: len(want)], sims[want])
+
+
+def test_words_of_long_texts_are_cut_between_words(monkeypatch):
+    texts = [None, "", "Ab, cd" * 50, "x" * 500 + " y", "😀 ünÏ²½ Ⅷ_a"]
+    whole = [(i, w) for i, t in enumerate(texts) for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())]
+    for chunk in (1 << 22, 40, 1):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert [x for owner, found in toxicity.words(texts) for x in zip(owner.tolist(), found.to_pylist())] == whole
 
 
 def test_url_filter(spark, corpus):
