@@ -17,20 +17,20 @@ from __future__ import annotations
 
 import re
 import traceback
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.fixed_values import ENVIRONMENT, ENVIRONMENT_TYPES, HEADING
 from inkwell.schema import ELEMENTS
 
 _WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
-_HEADING = re.compile(r"\\(title|chapter|section|subsection|subsubsection)\*?\{([^\n\r\u2028\u2029]+)\}")
-_BEGIN = re.compile(r"\\begin\{([a-zA-Z*]+)\}")
-_KINDS = {f"{n}{s}": "equation" for n in ("equation", "align", "alignat", "gather") for s in ("", "*")}
-_KINDS |= {f"{n}{s}": n for n in ("figure", "table") for s in ("", "*")} | {"titlepage": "environment"}
+_HEADING = re.compile(HEADING.replace(".", r"[^\n\r\u2028\u2029]"))
+_BEGIN = re.compile(ENVIRONMENT)
 _INLINE = ((re.compile(r"\\\[([^\n\r\u2028\u2029]+?)\\\]"), "bracket"), (re.compile(r"\$\$([^\n\r\u2028\u2029]+?)\$\$"), "dollar"))
 _CLOSED = re.compile(r"\\\[.*?\\\]", re.S), re.compile(r"\$\$.*?\$\$", re.S)
 _MARKS, _CLOSING = ".．。?？!！", ")]）】》」』”’\"'"
@@ -49,9 +49,18 @@ class Element:
     metadata: dict | None = None
 
 
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
+
+
 def units(text: str) -> int:
     """UTF-16 units of a text."""
-    return len(text) + sum(c > "\uffff" for c in text) if not text.isascii() else len(text)
+    return len(text) if text.isascii() else len(text) + sum(1 for _ in _WIDE.finditer(text))
+
+
+def unit_places(line: str) -> Callable[[int], int]:
+    """From a place in the line, counted in characters, to the same in UTF-16 units."""
+    wide = [] if line.isascii() else [m.start() for m in _WIDE.finditer(line)]
+    return (lambda at: at + bisect_left(wide, at)) if wide else (lambda at: at)
 
 
 def uncommented(line: str) -> str:
@@ -112,16 +121,21 @@ def _trimmed(line: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield start + len(part) - len(part.lstrip(_WHITE)), end - len(part) + len(part.rstrip(_WHITE))
 
 
-def balanced(text: str, at: int) -> int:
-    """Where the bracket or brace at `at` ends, behind its match; -1 if it never does."""
-    opening = text[at]
-    closing = "]" if opening == "[" else "}"
-    depth = 0
-    for i in range(at, len(text)):
-        depth += (text[i] == opening) - (text[i] == closing)
-        if not depth:
-            return i + 1
-    return -1
+_BRACKETS = {"[": "]", "{": "}"}
+
+
+def matches(text: str) -> dict[int, int]:
+    """Where each bracket and brace that closes ends, behind its match, by where it opens; the two kinds don't see each other."""
+    out: dict[int, int] = {}
+    for opening, closing in _BRACKETS.items():
+        if opening in text and closing in text:
+            open_at: list[int] = []
+            for m in re.finditer(re.escape(opening) + "|" + re.escape(closing), text):
+                if m[0] == opening:
+                    open_at.append(m.start())
+                elif open_at:
+                    out[open_at.pop()] = m.end()
+    return out
 
 
 def command_end(text: str, at: int) -> int:
@@ -133,30 +147,34 @@ def command_end(text: str, at: int) -> int:
     return re.compile("[a-zA-Z*@]+").match(text, at).end()
 
 
-def argument_spans(text: str, at: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the bracketed and braced arguments that follow; stops at one that doesn't close."""
+def argument_spans(text: str, at: int, closed: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the bracketed and braced arguments that follow; stops at one that isn't in closed (matches of the text)."""
     while at < len(text):
         begin = at
         while begin < len(text) and text[begin] in _WHITE:
             begin += 1
         if begin >= len(text) or text[begin] not in "[{":
             return
-        at = balanced(text, begin)
-        if at < 0:
+        if (at := closed.get(begin, -1)) < 0:
             return
         yield begin, at
 
 
+_BARE = str.maketrans("{}~", "   ")
+
+
 def plain(text: str) -> str:
     """Bare braces and ~ become spaces; commands stay with their arguments; a lone last backslash goes."""
-    out, at = [], 0
+    if "\\" not in text:
+        return text.translate(_BARE)
+    out, at, closed = [], 0, matches(text)
     while at < len(text):
         c = text[at]
         if c == "\\":
             end = command_end(text, at + 1)
             if end < 0:
                 break
-            for _, end in argument_spans(text, end):  # noqa: B007, B020
+            for _, end in argument_spans(text, end, closed):  # noqa: B007, B020
                 pass
             out.append(text[at:end])
             at = end
@@ -190,14 +208,14 @@ def _letters(text: str) -> str:
 
 
 def has_payload(text: str) -> bool:
-    at = 0
+    at, closed = 0, matches(text) if "\\" in text else {}
     while at < len(text):
         c = text[at]
         if c == "\\":
             end = command_end(text, at + 1)
             if end < 0:
                 return False
-            for begin, end in argument_spans(text, end):  # noqa: B020
+            for begin, end in argument_spans(text, end, closed):  # noqa: B020
                 inner = text[begin + 1 : end - 1]
                 if _letters(inner) or "$" in inner or "\\(" in inner or "\\[" in inner:
                     return True
@@ -244,7 +262,7 @@ def parse(text: str) -> tuple[list[Element], str | None]:
         if m := _HEADING.match(t):
             out.append(Element(m[1], m[2].strip(_WHITE), (at, 0), (at, units(whole)), {"command": m[1]}))
             continue
-        if (m := _BEGIN.match(t)) and (kind := _KINDS.get(m[1]) or _KINDS.get(m[1].replace("*", "", 1))):
+        if (m := _BEGIN.match(t)) and (kind := ENVIRONMENT_TYPES.get(m[1]) or ENVIRONMENT_TYPES.get(m[1].replace("*", "", 1))):
             mark = f"\\end{{{m[1]}}}"
             last = next((i for i in range(at, len(lines)) if mark in lines[i]), len(lines) - 1)
             content = "\n".join(lines[at : last + 1]).strip(_WHITE)
@@ -253,12 +271,13 @@ def parse(text: str) -> tuple[list[Element], str | None]:
             continue
         if t.startswith("\\"):
             continue
+        place = unit_places(line)
         for pattern, kind in _INLINE:
             for m in pattern.finditer(line):
-                out.append(Element("equation", m[0], (at, units(line[: m.start()])), (at, units(line[: m.end()])), {"inline": False, "delimiter": kind}))
+                out.append(Element("equation", m[0], (at, place(m.start())), (at, place(m.end())), {"inline": False, "delimiter": kind}))
         for start, end in sentence_spans(line):
             if content := sentence_content(line[start:end]):
-                out.append(Element("sentence", content, (at, units(line[:start])), (at, units(line[:end]))))
+                out.append(Element("sentence", content, (at, place(start)), (at, place(end))))
     return out, f"the display block of line {block[1] + 1} never closes" if block else None
 
 
@@ -269,23 +288,25 @@ _ROW = pa.schema(
 )
 
 
-def _rows(path: str, number: int, text: str | None) -> Iterator[dict]:
-    place = {"file_path": path, "file_ord": number}
+def _elements(text: str | None) -> tuple[list[Element], str | None]:
+    """What parse() gives; a document that raises has no elements and an error."""
     try:
-        elements, problem = parse(text or "")
+        return parse(text or "")
     except Exception:
-        elements, problem = [], traceback.format_exc(limit=1)
-    for i, e in enumerate(elements):
-        yield place | {"line_no": e.start[0], "seq": i, "type": e.type, "content": e.content, "start_line": e.start[0], "start_char": e.start[1], "end_line": e.end[0], "end_char": e.end[1], "metadata": e.metadata}
-    if problem:
-        yield place | {"error": problem}
+        return [], traceback.format_exc(limit=1)
 
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            rows = [row for r in batch.slice(at, 256).to_pylist() for row in _rows(r["file_path"], r["file_ord"], r["text"])]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
+            rows: list[tuple] = []
+            for path, number, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                found, problem = _elements(text)
+                rows += [(path, number, e.start[0], i, e.type, e.content, *e.start, *e.end, e.metadata, None) for i, e in enumerate(found)]
+                if problem:
+                    rows.append((path, number, *[None] * 9, problem))
+            columns = list(zip(*rows)) or [()] * len(_ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ROW)], schema=_ROW)
 
 
 def parsed(files: DataFrame) -> DataFrame:
@@ -307,8 +328,7 @@ def register(spark: SparkSession, name: str = "parse_document") -> None:
     @F.udtf(returnType="seq long, type string, content string, start_line int, start_char int, end_line int, end_char int")
     class ParseDocument:
         def eval(self, path: str, number: int, text: str):
-            for r in _rows(path, number, text):
-                if "type" in r:
-                    yield r["seq"], r["type"], r["content"], r["start_line"], r["start_char"], r["end_line"], r["end_char"]
+            for i, e in enumerate(_elements(text)[0]):
+                yield i, e.type, e.content, *e.start, *e.end
 
     spark.udtf.register(name, ParseDocument)
