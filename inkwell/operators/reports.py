@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from inkwell.schema import RANGE
 
@@ -13,15 +14,18 @@ def element_counts(elements: DataFrame) -> DataFrame:
 
 
 def diagnostic_summary(diagnostics: DataFrame, order: list[str], samples: int = 5) -> DataFrame:
-    """By code, or message where there is none: how many, where the first is, and samples in order, as lines from 1.
+    """By code, or message where there is none: how many, and samples in order, as lines from 1; the first place leads them.
 
-    Each task keeps the first few of a group, so a frequent message isn't gathered in one place.
+    A group is cut to its first few in salted parts, before anything is gathered.
     """
-    key = F.coalesce("code", "message")
+    rows = diagnostics.withColumn("key", F.coalesce("code", "message"))
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     row = F.struct(*order, "message", "code", "file_path", (F.col("start_line") + 1).alias("line"))
-    rows = diagnostics.withColumn("key", key).withColumn("row", row)
-    near = rows.groupBy("key", F.pmod(F.xxhash64("file_path"), F.lit(64)).alias("salt")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("row")), 1, samples).alias("rows"))
-    return near.groupBy("key").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("rows"))), 1, samples).alias("samples"))
+    part = F.pmod(F.xxhash64("file_path"), F.lit(64))
+    first = rows.select("key", part.alias("part"), row.alias("row"))
+    first = first.withColumn("rank", F.row_number().over(W.partitionBy("key", "part").orderBy("row"))).filter(F.col("rank") <= samples)
+    chosen = first.groupBy("key").agg(F.slice(F.array_sort(F.collect_list("row")), 1, samples).alias("samples"))  # 64 * samples rows a key at most
+    return counts.join(chosen, "key")
 
 
 def by_file(diagnostics: DataFrame, order: list[str]) -> DataFrame:
@@ -41,6 +45,3 @@ def suspicious(elements: DataFrame, shortest: int = 5) -> DataFrame:
 def top_suspicious(elements: DataFrame, n: int = 20) -> DataFrame:
     return suspicious(elements).orderBy("file_ord", "seq").limit(n)
 
-
-def count_label(n: int, noun: str) -> str:
-    return f"{n} {noun}" if n == 1 else f"{n} {noun}s"
