@@ -33,29 +33,34 @@ BITS, EPOCHS, THRESHOLD = 16, 100, 0.5
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_BLOCKED = """
-cheap-pills.example/buy buy-pills.example/en/12 pills-online.example/order discount-pills.example/ cheap-meds.example/fr/9 pharma-cheap.example/pills
-casino-win.example/play best-casino.example/de/3 casino.example/slots online-casino.example/bonus win-casino.example/en/77 royal-casino.example/es/5
-free-bets.example/now bets.example/free sport-bets.example/en/1 bets-online.example/ free-spins.example/win poker-bets.example/fr/22
-spam-farm.example/en/4 spam.example/ link-farm.example/es/31 farm-spam.example/a content-farm.example/list spam-mail.example/de/6
-ads-track.example/click ad-track.example/pixel ads.example/banner track.example/ads?x=1 adserver.example/en/8 ads-click.example/track
-adult-x.example/en/1 adult.example/ adult-video.example/fr/2 xxx-adult.example/ free-adult.example/de/9 x-adult.example/es/14
-free-money.example/win get-rich.example/now payday-loans.example/apply replica-watches.example/buy hot-singles.example/ torrent-crack.example/keygen
+#: Urls to be blocked, by family, and allowed ones, made up without a look at any crawl.
+BLOCKED = {
+    "medicine": "viagra-shop.example/order rx-discount.example/en/12 no-prescription.example/checkout cialis-express.example/ generic-meds.example/fr/9 slimming-tablets.example/special",
+    "gambling": "poker-room.example/play jackpot-slots.example/de/3 roulette-live.example/bonus blackjack-tables.example/en/77 lucky-lotto.example/es/5 bookmaker-odds.example/join",
+    "sex": "sexcams.example/live porn-tube.example/en/1 nude-pics.example/gallery erotic-chat.example/fr/2 escort-girls.example/de/9 hot-singles.example/es/14",
+    "links": "backlinks-seo.example/buy seo-booster.example/en/4 link-exchange.example/es/31 article-spinner.example/a bulk-mailer.example/list comment-poster.example/de/6",
+    "clicks": "popunder-network.example/click banner-clicks.example/in?x=1 retarget-pixel.example/p.gif sponsored-offers.example/en/8 affiliate-clicks.example/go clickbait-news.example/fr/3",
+    "fraud": "payday-loans.example/apply replica-watches.example/buy crypto-doubler.example/now keygen-crack.example/download get-rich-quick.example/ miracle-diet.example/es/2",
+}
+ALLOWED = """
+library.example/en/12 news.example/de/44 gardens.example/en/7.html university.example/fr/3 museum.example/es/19 docs.project.example/guide
+weather.example/en/101 townhall.example/de/5/ recipes.example/fr/61.html history.example/en/9?page=2 science.example/article/77 school.example/es/8
+forum.linux.example/en/32 travel.example/fr/15 hospital.example/de/2 maps.example/en/ journal.example/2020/01/review.html theatre.example/en/66
+archive.example/en/1000 council.example/en/policy orchestra.example/concerts bakery.example/bread chess.example/en/rules botany.example/plants/oak
+railway.example/timetable bookshop.example/de/70 astronomy.example/en/moon cycling-club.example/fr/18 parish.example/es/4 language-course.example/en/5
+charity.example/donate chemistry.example/de/21 county-court.example/en/3 knitting.example/fr/44 painting.example/es/27 geology.example/en/rocks
+bird-watching.example/de/8 sailing-school.example/en/16 village.example/fr/6 choir.example/concerts translation.example/es/52 mountain-hut.example/de/11
 """
-_ALLOWED = """
-www.library.example/en/12 news.example/de/44 blog.gardens.example/en/7.html www.university.example/fr/3 museum.example/es/19 docs.project.example/guide
-m.weather.example/en/101 www.townhall.example/de/5/ recipes.example/fr/61.html history.example/en/9?page=2 science.example/article/77 www.school.example/es/8
-forum.linux.example/en/32 blog.travel.example/fr/15 www.hospital.example/de/2 maps.example/en/ journal.example/2020/01/review.html www.theatre.example/en/66
-thing.example/en/3 blog.other.example/de/41 m.there.example/es/20 www.then.example/fr/17/ that.example/en/5 www.mention.example/de/9.html
-blog.nation.example/en/23 m.station.example/fr/4 reader.example/es/71 www.mother.example/en/8 garden.example/de/12 blog.winter.example/en/55
-m.thunder.example/en/6 www.theory.example/de/13 thesis.example/fr/90 blog.father.example/es/2 www.author.example/en/31 m.thread.example/de/27
-archive.example/en/1000 www.council.example/en/policy orchestra.example/concerts blog.bakery.example/bread chess.example/en/rules www.botany.example/plants/oak
-"""
-#: (url, 1 if it is to be blocked), each under several subdomains and top-level domains, so that these say nothing
-LABELLED = tuple(
-    (f"https://{sub}{u.removeprefix('www.').removeprefix('blog.').removeprefix('m.').replace('.example/', f'.example.{top}/', 1)}", y)
-    for text, y in ((_BLOCKED, 1), (_ALLOWED, 0)) for u in text.split() for sub, top in (("", "com"), ("www.", "org"), ("blog.", "net"), ("m.", "com"))
-)
+
+
+def labelled(blocked: Iterable[str] = BLOCKED.values(), allowed: str = ALLOWED) -> tuple[tuple[str, int], ...]:
+    """(url, 1 if it is to be blocked), each under several subdomains and top-level domains, so that these say nothing."""
+    under = (("", "com"), ("www.", "org"), ("blog.", "net"), ("m.", "com"))
+    rows = [(u, y) for texts, y in ((blocked, 1), ([allowed], 0)) for text in texts for u in text.split()]
+    return tuple((f"https://{sub}{u.replace('.example/', f'.example.{top}/', 1)}", y) for u, y in rows for sub, top in under)
+
+
+LABELLED = labelled()
 
 
 def host(url: Column) -> Column:
