@@ -27,6 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ WHOLE = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{
 LATIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 CUT = re.compile(r"(?<=\S)\s")
-LONG_TEXT, MEMO, LEXICON = 1 << 20, 400_000, 65_536
+LONG_TEXT, MEMO, LEXICON, SHORT = 1 << 20, 400_000, 65_536, 200
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -88,6 +89,8 @@ class Vocabulary:
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one piece: the pair of lowest rank, leftmost first, is merged until none is left."""
+        if len(word) > SHORT:
+            return self._merge_long(word)
         none, get = 1 << 60, self.pair.get
         ids = [self.first[b] for b in word]
         ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
@@ -102,6 +105,29 @@ class Vocabulary:
         return ids
 
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same in n log n: pairs in a heap, ids in a linked list. A pair that has changed meanwhile is passed over."""
+        get, n = self.pair.get, len(word)
+        ids: list[int] = [self.first[b] for b in word]  # -1: merged into the one before
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(found, i) for i in range(n - 1) if (found := get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            found, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or get(ids[i] << 20 | ids[j]) != found:
+                continue
+            ids[i], ids[j] = found & 0xFFFFF, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (more := get(ids[i] << 20 | ids[k])) is not None:
+                    heappush(heap, (more, i))
+            if (h := before[i]) >= 0 and (more := get(ids[h] << 20 | ids[i])) is not None:
+                heappush(heap, (more, h))
+        return [x for x in ids if x >= 0]
+
+
 def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
     """Sorted different words and their ids as one block: see Lexicon for its layout."""
     register: dict[tuple, int] = {}
