@@ -41,9 +41,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores as it takes not to clash with a column of df."""
-    taken, out = {c.lower() for c in df.columns}, []
+def free_names(df: DataFrame | list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as it takes not to clash with a column of df, or with a name of the list."""
+    taken, out = {c.lower() for c in (df if isinstance(df, list) else df.columns)}, []
     for name in names:
         while name.lower() in taken:
             name += "_"
@@ -61,5 +61,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def shift_left(one: Column, bits: Column) -> Column:
-    return F.call_function("shiftleft", one, bits)
+def join_hot(rows: DataFrame, small: DataFrame, key: str, weight: str, share: int = 4096) -> DataFrame:
+    """rows inner-joined with small (a row per key) on key; weight: about how many rows a key of small has.
+
+    Keys that hold a `share`th of the weight or more, which are `share` at most, are joined by broadcast and
+    don't meet in a task; the others are left to Spark, none of them with a larger part of the rows.
+    weight is dropped.
+    """
+    (hot,) = free_names([*rows.columns, *small.columns], "__hot")
+    total = small.agg(F.coalesce(F.sum(weight), F.lit(0))).scalar()
+    marked = small.withColumn(hot, F.col(weight) * share >= total).drop(weight)
+    heavy = F.broadcast(marked.filter(hot))  # `share` rows at most, as their weights add up to no more than the total
+    left = rows.join(heavy, key, "left")
+    met = left.filter(F.col(hot)).drop(hot)
+    rest = left.filter(F.col(hot).isNull()).select(*rows.columns).join(marked.filter(~F.col(hot)).drop(hot), key)
+    return met.unionByName(rest)

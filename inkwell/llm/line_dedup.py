@@ -2,15 +2,17 @@
 
 A run is a table of (key, docs), sorted by key and kept in the shared folder. Each new batch of
 documents is reduced to its keys with the number of documents that hold them, merge-anti-joined
-with the run of keys already known to be frequent, and written as a run of level 0. When a level has
+with the runs of keys already known to be frequent, and written as a run of level 0. When a level has
 `fanout` runs they are merged into one of the next level, where keys that reach the limit move to the
-frequent run. So a batch costs its own size, and every key is rewritten once a level.
+frequent runs, which are compacted like the others. So a batch costs its own size, and every key is
+rewritten once a level. Keys that are not frequent yet have to be counted on, so only unseen(), for those
+who keep the first of equal lines, anti-joins all runs.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased, as
-XXH64 (seed 42); lines without a key are kept.
+XXH64 (seed 42): two lines whose 64-bit hashes clash count as one. Lines without a key are kept.
 
-Defined results: null and empty texts have one empty line; repeated rows count as documents of
-their own and get equal rows; a null doc_id is an id like any other; an empty table gives an empty
+Defined results: null and empty texts have one empty line; rows that share a doc_id count as one
+document and get a row each; a null doc_id is an id like any other; an empty table gives an empty
 result; extra columns pass through drop_lines and are ignored elsewhere.
 """
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import free_names, materialize, table, text_or_empty
+from inkwell.llm.common import free_names, join_hot, materialize, table, text_or_empty
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -81,7 +83,7 @@ class LineRuns:
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """keys: a row (key) for each document that holds the key."""
+        """keys: a row (key) for each document that holds the key; a document's keys are all in one batch."""
         counts = keys.groupBy("key").agg(F.count("*").alias("docs"))
         for run in self.known:
             counts = counts.join(run.select("key").hint("merge"), "key", "left_anti")
@@ -94,17 +96,19 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             merged = self._merge(self.levels[level], f"merged-{level + 1}")
             self.levels[level] = []
-            self.known.append(materialize(merged.filter(F.col("docs") >= self.min_docs).select("key"), "line-known"))
+            self.known.append(self._sorted(merged.filter(F.col("docs") >= self.min_docs), "known"))
+            if len(self.known) > self.fanout:
+                self.known = [self._sorted(self._union(self.known), "known-merged")]
             self._put(level + 1, merged.filter(F.col("docs") < self.min_docs))
 
     def _merge(self, runs: list[DataFrame], label: str) -> DataFrame:
         return self._sorted(self._union(runs).groupBy("key").agg(F.sum("docs").alias("docs")), label)
 
     def frequent(self) -> DataFrame:
-        """Keys found in min_docs documents or more, over all levels."""
+        """(key, docs): keys found in min_docs documents or more, over all levels; docs as far as it was counted."""
         rest = [run for level in self.levels for run in level]
-        found = [self._union(rest).groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= self.min_docs).select("key")] if rest else []
-        return self._union([*self.known, *found]).distinct()
+        found = [self._union(rest).groupBy("key").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= self.min_docs)] if rest else []
+        return self._union([*self.known, *found]).groupBy("key").agg(F.sum("docs").alias("docs"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -112,11 +116,13 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, fanout:
     rows = materialize(keyed(docs), "line-keys")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for i in range(batches):
-        batch = rows.filter(F.pmod("text_hash", F.lit(batches)) == i)
-        runs.add(batch.select(F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")))
+        batch = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i)
+        # rows that share a doc_id are one document
+        held = batch.select("doc_id", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")).distinct()
+        runs.add(held.select("key"))
     frequent = materialize(runs.frequent(), "line-frequent")
     lines = rows.select("doc_id", "text_hash", F.posexplode("keys").alias("pos", "key")).filter("key IS NOT NULL")
-    return lines.join(frequent, "key", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
+    return join_hot(lines, frequent, "key", "docs").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("dropped"))
 
 
 def with_kept_text(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> tuple[DataFrame, list[str]]:
@@ -153,7 +159,7 @@ SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
-f AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+f AS (SELECT k FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 10),
 m AS (SELECT k.*, f.k IS NOT NULL AS gone FROM k LEFT JOIN f ON k.k = f.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256

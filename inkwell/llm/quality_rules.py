@@ -2,9 +2,10 @@
 
 Method: every line is normalised (ASCII white space collapsed and stripped, lower case) and hashed
 together with its host; the number of different texts of that host that hold the line is
-counted; the words on lines above the limit count as lost (texts stay as they are); a document that
-loses too many of its words is rejected. Exact copies of a text count as one document, and the document with the smallest doc_id
-that holds a line keeps it, so that of a group of copies one always stays.
+counted; lines above the limit are removed; a document that loses too many of its words by that is
+rejected. judge() tells which, keep() gives the others with their whole texts, cleaned() without the
+lines. Exact copies of a text count as one document, and the document with the smallest doc_id that
+holds a line keeps it, so that of a group of copies one always stays.
 
 Defined results: a null or empty text has no words and is base_failed; a null host is a host of its
 own; a document with no word in any line has nothing removed; repeated rows each get the same row;
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import SPACES, WORD_CHAR, free_names, let, materialize, shift_left, text_or_empty, words
+from inkwell.llm.common import SPACES, WORD_CHAR, free_names, join_hot, let, materialize, text_or_empty, words
 
 
 @dataclass(frozen=True)
@@ -32,25 +33,20 @@ class LineLimits:
 def repeated_window_words(w: Column) -> Column:
     """Words that lie in 3-word windows found twice or more in w.
 
-    The windows' 64-bit hashes are sorted with their positions packed into the low bits; neighbours
-    that agree in the packed part are compared in full. O(n log n) a document.
+    The windows' 64-bit hashes are sorted together with their places; those that stand next to an equal
+    one are repeated. O(n log n) a document.
     """
     zero = F.lit(0).cast("long")
 
     def count(h: Column) -> Column:
-        bits = F.ceil(F.log2(F.size(h) + F.lit(1.0))).cast("int")
-        mask = shift_left(F.lit(1).cast("long"), bits) - 1
-
-        def marked(packed: Column, mask: Column) -> Column:
-            at = lambda i: F.get(packed, i).bitwiseAND(mask).cast("int")
-            same = lambda i, j: F.coalesce(F.get(h, at(i)) == F.get(h, at(j)), F.lit(False))
-            found = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: same(i, i + 1) | same(i, i - 1))
-            spread = F.transform(found, lambda i: F.array(at(i), at(i) + 1, at(i) + 2))
+        def marked(pairs: Column) -> Column:
+            same = lambda i, j: F.coalesce(F.get(pairs, i)["h"] == F.get(pairs, j)["h"], F.lit(False))
+            found = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: same(i, i + 1) | same(i, i - 1))
+            spread = F.transform(found, lambda i: let(F.get(pairs, i)["i"], lambda at: F.array(at, at + 1, at + 2)))
             return F.size(F.array_distinct(F.flatten(spread))).cast("long")
 
-        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
-        some = let(F.struct(packed.alias("p"), mask.alias("m")), lambda s: marked(s["p"], s["m"]))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(some)
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(let(pairs, marked))
 
     hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(w) >= 4, let(hashes, count)).otherwise(zero)
@@ -71,29 +67,35 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACES, " ")))
 
 
+def _line_key(host: Column, line: Column) -> Column:
+    return F.xxhash64(F.coalesce(host, F.lit("")), host.isNull(), normalised(line))
+
+
 def profile(docs: DataFrame, host: str = "source") -> DataFrame:
     """A row per document with its counts and, for each line with a word, its key and its words."""
     text = text_or_empty()
     out = docs.select("doc_id", F.col(host).alias("host"), text.alias("text"), words(text).alias("w"))
-    key = lambda x: F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull(), normalised(x))
-    line = lambda x: F.struct(key(x).alias("key"), F.regexp_count(x, F.lit(WORD_CHAR + "+")).alias("n"))
+    line = lambda x: F.struct(_line_key(F.col("host"), x).alias("key"), F.regexp_count(x, F.lit(WORD_CHAR + "+")).alias("n"))
     lines = F.transform(F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD_CHAR)), line)
     return out.select("doc_id", F.xxhash64("text").alias("text_hash"), *[c.alias(k) for k, c in base_counts(F.col("text"), F.col("w")).items()], lines.alias("lines"))
 
 
 def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
-    """(key, first): lines above the limit, with the first document that holds each."""
-    per_text = lines.groupBy("key", "text_hash").agg(F.min("doc_id").alias("first"))
-    counted = per_text.groupBy("key").agg(F.count("*").alias("docs"), F.min("first").alias("first"))
-    return counted.filter(F.col("docs") >= limits.min_docs).select("key", "first")
+    """(key, first, rows): lines above the limit, with the first document that holds each and how many lines it is."""
+    per_text = lines.groupBy("key", "text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    counted = per_text.groupBy("key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    return counted.filter(F.col("docs") >= limits.min_docs).select("key", "first", "rows")
 
 
-def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """doc_id, text_hash, the counts, kept_share, base_failed and kept, a row per document."""
+def _profiled(docs: DataFrame, host: str, limits: LineLimits) -> tuple[DataFrame, DataFrame]:
+    """The documents' counts, and (doc_id, text_hash, key, n) of the lines above the limit that a document isn't the first to hold."""
     rows = materialize(profile(docs, host), "quality-rules")
     lines = rows.select("doc_id", "text_hash", F.explode("lines").alias("l")).select("doc_id", "text_hash", F.col("l.key").alias("key"), F.col("l.n").alias("n"))
-    frequent = frequent_lines(lines, limits)
-    hit = lines.join(frequent, "key").filter(~F.col("first").eqNullSafe(F.col("doc_id")))
+    frequent = materialize(frequent_lines(lines, limits), "quality-lines")
+    return rows, join_hot(lines, frequent, "key", "rows").filter(~F.col("first").eqNullSafe(F.col("doc_id"))).drop("first")
+
+
+def _judged(rows: DataFrame, hit: DataFrame, limits: LineLimits) -> DataFrame:
     # repeated rows add up; the sum over all of them is taken relative to their number
     lost = hit.groupBy("doc_id", "text_hash").agg(F.sum("n").alias("lost"))
     times = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times")).filter("times > 1")
@@ -104,12 +106,41 @@ def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits
     return out.withColumn("base_failed", failed).withColumn("kept_share", share).withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= limits.min_kept_share)).drop("of", "hash", "lost")
 
 
+def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """doc_id, text_hash, the counts, kept_share, base_failed and kept, a row per document."""
+    return _judged(*_profiled(docs, host, limits), limits)
+
+
 def keep(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
+    return _joined(docs, judge(docs, host, limits).filter("kept").select("doc_id", "text_hash").distinct())
+
+
+def _joined(docs: DataFrame, good: DataFrame, *more: str) -> DataFrame:
+    """docs that good (doc_id, text_hash, *more) names, with more."""
     own, hashed = free_names(docs, "__id", "__hash")
-    good = judge(docs, host, limits).filter("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    good = good.withColumnsRenamed({"doc_id": own, "text_hash": hashed})
     same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty()) == F.col(hashed))
-    return docs.join(good, same, "left_semi")
+    return docs.join(good, same).drop(own, hashed) if more else docs.join(good, same, "left_semi")
+
+
+def cleaned(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """The documents that the rules keep, their texts without the lines above the limit; the first document that holds a line keeps it.
+
+    Texts that lose no line stay as they are, n_chars included; lines without a word are never removed.
+    """
+    rows, hit = _profiled(docs, host, limits)
+    good = _judged(rows, hit, limits).filter("kept").select("doc_id", "text_hash").distinct()
+    gone, own, hashed = free_names(docs, "__gone", "__id", "__hash")
+    keys = hit.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).agg(F.collect_set("key").alias(gone))  # no more than a document's lines
+    good = good.join(keys, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col("text_hash") == F.col(hashed)), "left").drop(own, hashed)
+    out = _joined(docs, good, gone)
+    # not array_contains of a null array: such rows keep their text
+    left = F.array_join(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: ~(x.rlike(WORD_CHAR) & F.array_contains(F.col(gone), _line_key(F.col(host), x)))), "\n")
+    new = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(left).alias("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import free_names, materialize, table, text_or_empty
+from inkwell.llm.common import free_names, join_hot, materialize, table, text_or_empty
 
 LIMIT, PARTS, DENSE, PIECE = 2, 3, 2048, 200_000
 LONG = T.LongType()
@@ -271,12 +271,12 @@ def links(fps: DataFrame, parts: int = PARTS, dense: int = DENSE, shared_from: i
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of the edges (a, b), a > b, with the smallest it can reach."""
     edges = materialize(edges, "simhash-links")
-    sums = [F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))]
+    sums = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))]
     state = tuple(edges.agg(*sums).first())
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, "a", "n").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         large = materialize(large, "simhash-large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         turned = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -292,13 +292,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), a row per document."""
     rows = materialize(fingerprints(docs), "simhash")
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     nodes = materialize(components(links(fps)), "simhash-components")
     joined = nodes.join(fps, nodes["node"] == fps["fp"]).select("fp", "root", "least")
     roots = joined.groupBy("root").agg(F.min("least").alias("component"))
     linked = joined.join(roots, "root").select(F.col("fp").alias("of"), "component")
-    each = fps.join(linked, F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return rows.join(each, "fp").select("doc_id", "fp", "component_id")
+    each = fps.join(linked, F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows")
+    return join_hot(rows, materialize(each, "simhash-groups"), "fp", "rows").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ cut, the rest following in continuation records. Spark's text writer writes the
 line breaks that end a record as separator, so files appear whole or not at all, on any file system
 Spark can write.
 
-Reading: files are parsed as streams. Segments are gathered by the id of the record they begin with,
+Reading: a file's bytes are one value (Spark allows 2 GB; written files are far smaller), inflated and
+parsed piece by piece. Segments are gathered by the id of the record they begin with,
 in order of their number, through a state that holds one segment at a time: total length is
 verified, the chunked framing decoded, payloads digested as they pass. A revisit takes its length from
 the response it names, after their digests are compared. What doesn't agree is told in `problem`.
+Archives of other makers have no page_id; records that can't be read are rows of type `damaged`, and what
+stands behind one whose end can't be told is left out.
 
 Defined results: a null html is an empty payload; a null url leaves out the target; line breaks in a url
 are written as %0D and %0A; rows that repeat the response's page_id and payload are responses, too; a
@@ -19,6 +22,7 @@ null page_id is never the smallest, unless all are; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from inkwell.llm.common import materialize, shared_dir, table
+from inkwell.llm.common import join_hot, materialize, shared_dir, table
 
-LEAST, SEGMENT, CHUNK, DATE = 100, 32 * 1024, 8 * 1024, "2020-01-01T00:00:00Z"
+LEAST, SEGMENT, CHUNK, DATE, PAGE = 100, 32 * 1024, 8 * 1024, "2020-01-01T00:00:00Z", "X-Page-ID"
+#: So a file holds about 128 MB at most before it is compressed.
+RECORDS_A_FILE = 4096
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -47,11 +53,6 @@ def record_id(page_id: int | None, digest: str, copy: int) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}:{digest[:32]}:{copy}>"
 
 
-def page_of(record: str) -> int | None:
-    part = record.strip("<>").split(":")[2]
-    return None if part == "none" else int(part)
-
-
 def chunked(payload: bytes, size: int = CHUNK) -> bytes:
     out = [b"%x\r\n%b\r\n" % (len(x), x) for x in (payload[at : at + size] for at in range(0, len(payload), size))]
     return b"".join(out) + b"0\r\n\r\n"
@@ -63,11 +64,16 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
+def page_header(page_id: int | None) -> tuple[str, object]:
+    """A header of this library: the page that a record was made of."""
+    return PAGE, page_id
+
+
 def records(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, copy: int, segment: int = SEGMENT, chunk: int = CHUNK) -> Iterator[bytes]:
     """The records of a page; first: the page_id of the response that it revisits."""
     url = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     own = record_id(page_id, digest, copy)
-    common = [("WARC-Record-ID", own), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    common = [("WARC-Record-ID", own), page_header(page_id), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}")]
     kind = ("Content-Type", "application/http;msgtype=response")
     if first is not None:
         yield record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", record_id(first, digest, 0)), ("WARC-Profile", PROFILE), kind], HTTP)
@@ -80,7 +86,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, f
     yield record([("WARC-Type", "response"), *common, kind, ("WARC-Segment-Number", 1)], parts[0])
     for n, part in enumerate(parts[1:], 2):
         total = len(block) if n == len(parts) else None
-        more = [("WARC-Record-ID", f"{own[:-1]}:{n}>"), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Segment-Origin-ID", own)]
+        more = [("WARC-Record-ID", f"{own[:-1]}:{n}>"), page_header(page_id), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("WARC-Segment-Origin-ID", own)]
         yield record([("WARC-Type", "continuation"), *more, ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], part)
 
 
@@ -132,17 +138,22 @@ class Stream:
         return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of a file."""
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(headers by lower-case name, block, problem) of every record of a file; nothing is read behind a record whose end can't be told."""
     stream = Stream(data)
-    while (head := stream.until(END)) is not None:
-        lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record begins with {lines[0][:40]!r}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        block = stream.read(int(headers["content-length"]))
-        yield headers, block
-        stream.read(len(END))
+    try:
+        while (head := stream.until(END)) is not None:
+            lines = head.decode("utf-8", "replace").strip("\r\n").split("\r\n")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            length = headers.get("content-length", "")
+            if not lines[0].startswith("WARC/") or not (length.isascii() and length.isdigit()):
+                yield headers, b"", f"no record begins with {lines[0][:40]!r}" if not lines[0].startswith("WARC/") else "the record tells no length"
+                return
+            block = stream.read(int(length))
+            yield headers, block, "the record ends early" if len(block) < int(length) else None
+            stream.read(len(END))
+    except zlib.error as e:
+        yield {}, b"", f"the file can't be inflated: {e}"
 
 
 class Payload:
@@ -217,20 +228,31 @@ def payload_of(block: bytes, declared: str | None) -> tuple[int | None, str | No
     return message.result(declared)
 
 
+def _number(text: str | None, digits: int = 18) -> int | None:
+    return int(text) if text is not None and re.fullmatch(f"-?[0-9]{{1,{digits}}}", text) else None
+
+
 def _rows(data: bytes) -> Iterator[tuple]:
-    for h, block in parse(data):
-        kind, own = h["warc-type"], h["warc-record-id"]
-        declared = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+    for h, block, problem in parse(data):
+        kind, own, page = h.get("warc-type"), h.get("warc-record-id"), _number(h.get(PAGE.lower()))
+        digest = h.get("warc-payload-digest", "")
+        declared = digest.removeprefix("sha256:") if digest.startswith("sha256:") else None
         segment = h.get("warc-segment-number")
-        if kind == "continuation" or segment is not None:
+        number = _number(segment, 9)
+        if not problem and (own is None or kind is None):
+            problem = "the record has no id" if kind else "the record has no type"
+        if not problem and (segment is not None or kind == "continuation") and number is None:
+            problem = "the segment has no number"
+        if problem:
+            yield own, page, "damaged", None, None, None, declared, None, None, None, problem
+        elif number is not None:
             own = h.get("warc-segment-origin-id", own)
-            total = h.get("warc-segment-total-length")
-            yield own, page_of(own), "response", None, int(segment), None if total is None else int(total), declared, None, None, block, None
+            yield own, page, "response", None, number, _number(h.get("warc-segment-total-length")), declared, None, None, block, None
         elif kind == "revisit":
-            yield own, page_of(own), kind, h.get("warc-refers-to"), None, None, declared, None, None, None, None
+            yield own, page, kind, h.get("warc-refers-to"), None, None, declared, None, None, None, None
         elif kind == "response":
             n, digest, problem = payload_of(block, declared)
-            yield own, page_of(own), kind, None, None, None, declared, n, digest, None, problem
+            yield own, page, kind, None, None, None, declared, n, digest, None, problem
 
 
 _ARROW = pa.schema(
@@ -301,7 +323,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
     named = lambda df: df.withColumn("at", F.xxhash64("page_id", "digest"))
     sized = pages.select("page_id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("n")).filter(F.col("n") >= least)
     first = sized.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1 AND first IS NOT NULL")
-    again = named(sized.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()).select("at", "first")
+    again = named(join_hot(sized, first, "digest", "times").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()).select("at", "first")
     rows = named(pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)))
     rows = rows.withColumn("copy", F.row_number().over(W.partitionBy("at").orderBy("at")) - 1).join(again, "at", "left")
 
@@ -313,23 +335,28 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     made = rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload", "digest", F.col("first").cast("long").alias("first"), "copy")
-    made.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    made.mapInArrow(run, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, names: str = "*.gz") -> DataFrame:
     """record_id, page_id, record_type, refers_to (page_id), payload_bytes, payload_digest, problem: a row per page's record."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(path)
     found = materialize(files.select("content").mapInArrow(_read, SCHEMA), "warc-records")
     parts = found.filter("segment IS NOT NULL").repartition("record_id").sortWithinPartitions("record_id", "segment")
     columns = ["record_id", "page_id", "record_type", "refers_to", "declared", "payload_bytes", "payload_digest", "problem"]
     joined = parts.mapInArrow(_reassemble, SCHEMA).select(*columns)
     single = found.filter("segment IS NULL").select(*columns)
-    responses = single.filter("record_type = 'response'").unionByName(joined)
-    target = responses.select(F.col("record_id").alias("of"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest"))
-    revisits = single.filter("record_type = 'revisit'").join(target, F.col("refers_to") == F.col("of"), "left")
+    responses = materialize(single.filter("record_type = 'response'").unionByName(joined), "warc-responses")
+    target = responses.select(F.col("record_id").alias("of"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("digest")).dropDuplicates(["of"])
+    revisits = single.filter("record_type = 'revisit'").withColumn("refers_to", F.coalesce("refers_to", F.lit("")))
+    asked = revisits.groupBy("refers_to").agg(F.count("*").alias("times"))
+    # a row per response that is asked for, also where it is missing; a response may have very many revisits
+    answers = asked.join(target, F.col("refers_to") == F.col("of"), "left")
+    revisits = join_hot(revisits, answers, "refers_to", "times")
     problem = F.when(F.col("of").isNull(), "the response is missing").when(~F.col("digest").eqNullSafe(F.col("declared")), "the digest differs from the response's")
     revisits = revisits.select("record_id", "page_id", "record_type", F.col("first").alias("refers_to"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), problem.alias("problem"))
-    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*revisits.columns).unionByName(revisits)
+    damaged = single.filter("record_type = 'damaged'")
+    return responses.unionByName(damaged).withColumn("refers_to", F.lit(None).cast("long")).select(*revisits.columns).unionByName(revisits)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """The corpus operators against plain Python, on a small corpus with nulls, empty, long, repeated and tied rows."""
 
+import gzip
 import hashlib
 import math
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 from functools import reduce
@@ -18,6 +20,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from inkwell.llm import bpe, line_dedup, mixing, quality_model, quality_rules, simhash, toxicity, url_model, warc, winnow
+from inkwell.llm.common import join_hot
 
 SPACE = " \t\n\x0b\x0c\r"
 rng = random.Random(7)
@@ -109,15 +112,43 @@ def test_quality_rules_reject_what_is_only_frequent_lines(spark):
     assert kept == {0} | set(range(100, 130)) | set(range(200, 240))
 
 
+def test_frequent_lines_are_removed(spark):
+    common = prose(12).replace("\n", " ")
+    rows = [(i, f"{prose(60)}\n {common.upper()} \n\n{prose(3)}", "s" if i % 2 else None, 7, "x") for i in range(30)] + [(50, prose(80), "s", 7, "x"), (51, f"{common}\n" + prose(70), "t", 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, __gone string")
+    got = quality_rules.cleaned(docs)
+    assert got.columns == docs.columns
+    for r in got.collect():
+        text = rows[r["doc_id"] if r["doc_id"] < 30 else r["doc_id"] - 20][1]
+        short = text.replace(f"\n {common.upper()} ", "") if 1 < r["doc_id"] < 30 else text
+        assert r["text"] == short and r["n_chars"] == (len(short) if short != text else 7)
+    assert got.count() == 32
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(i, i % 7 if i % 3 else 0, None) for i in range(300)], "i int, k int, __hot string")
+    small = spark.createDataFrame([(k, f"v{k}", 200 if k == 0 else 1) for k in range(5)], "k int, v string, n int")
+    want = {(r["i"], r["v"]) for r in rows.join(small, "k").collect()}
+    for share in (1, 2, 4096):
+        got = join_hot(rows, small, "k", "n", share)
+        assert got.columns == ["k", "i", "__hot", "v"] and sorted((r["i"], r["v"]) for r in got.collect()) == sorted(want)
+
+
 def fingerprint_by_hand(text):
-    w = words(text)
-    chain = lambda ws: reduce(lambda h, x: xxhash.xxh64_intdigest(x.encode(), h), ws, 42)
-    grams = [chain(w[i : i + 5]) for i in range(len(w) - 4)] or ([chain(w)] if w else [])
+    """(hashes, positions): the cyclic polynomial, rolled word by word."""
+    turn = lambda x, n: (x << n | x >> (64 - n)) & (1 << 64) - 1
+    words_ = [xxhash.xxh64_intdigest(x.encode(), 42) for x in words(text)]
+    grams, last = [], 0
+    for i, h in enumerate(words_):
+        last = turn(last, 1) ^ h
+        if i >= 5:
+            last ^= turn(words_[i - 5], 5)
+        if i >= 4 or i == len(words_) - 1:
+            grams.append(last)
     signed = [g - (1 << 64) if g >> 63 else g for g in grams]
-    cut = [s >> 24 for s in signed]
-    size = min(16, len(cut))
-    chosen = sorted({min(range(i, i + size), key=lambda j: (cut[j], -j)) for i in range(len(cut) - size + 1)}) if cut else []
-    return [cut[j] for j in chosen], chosen
+    size = min(16, len(signed))
+    chosen = sorted({min(range(i, i + size), key=lambda j: (signed[j], -j)) for i in range(len(signed) - size + 1)}) if signed else []
+    return [signed[j] for j in chosen], chosen
 
 
 def likeness(a, b):
@@ -134,7 +165,7 @@ def test_winnowing(spark, corpus):
         edited = text[: len(text) - half] + after[:half]
         own, at = fingerprint_by_hand(text)
         other, following = fingerprint_by_hand(edited)[0], fingerprint_by_hand(after)[0]
-        show = lambda x: "".join(f"{h & (1 << 40) - 1:010x}" for h in x)
+        show = lambda x: "".join(f"{h & (1 << 64) - 1:016x}" for h in x)
         want.append((d[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), show(own), show(other), round(likeness(own, other), 9), round(likeness(own, following), 9), tuple(at)))
     got = [(r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9), tuple(r[7])) for r in winnow.op2(spark, corpus).collect()]
     assert Counter(got) == Counter(want)
@@ -142,7 +173,7 @@ def test_winnowing(spark, corpus):
 
 def test_winnowing_of_one_document_follows_itself(spark):
     row = winnow.with_next(spark.createDataFrame([(5, "abc")], "doc_id long, text string")).first()
-    assert (row["text"], row["next"]) == ("abc", "abc")
+    assert (row["text"], row["next"]["text"]) == ("abc", "abc")
 
 
 def targets_by_hand(docs):
@@ -213,6 +244,30 @@ def test_warc_segments_and_damage():
     assert whole([*warc._rows(bad + b"\r\n\r\n"), *rows[1:]])["problem"] == "the digest differs from the record's"
 
 
+def test_warc_of_other_makers(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\nhello"
+    digest = hashlib.sha256(b"hello").hexdigest()
+    one = lambda *h, block=body, length=None: "\r\n".join(["WARC/1.0", *h, f"Content-Length: {len(block) if length is None else length}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    kind = "WARC-Type: response"
+    files = {
+        "a": one("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:0>") + one(kind, "WARC-Record-ID: <urn:uuid:1>", "WARC-Payload-Digest: sha1:ABC")
+        + one("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:2>", "WARC-Refers-To: <urn:uuid:1>", f"WARC-Payload-Digest: sha256:{digest}", block=b"")
+        + one("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:3>", "WARC-Refers-To: <urn:uuid:9>", block=b"") + one("WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:4>", block=b"")
+        + one(kind) + one("WARC-Record-ID: <urn:uuid:5>") + one("WARC-Type: continuation", "WARC-Record-ID: <urn:uuid:6>", "WARC-Segment-Number: x")
+        + one(kind, "WARC-Record-ID: <urn:uuid:7>", block=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n"),
+        "b": one(kind, "WARC-Record-ID: <urn:uuid:8>", length="many"), "c": one(kind, "WARC-Record-ID: <urn:uuid:9x>", length=5000), "d": b"no archive\r\n\r\n", "e": b"",
+    }
+    for name, data in files.items():
+        (tmp_path / f"{name}.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "f.gz").write_bytes(gzip.compress(files["a"])[:10] + b"\xff" * 40)
+    rows = warc.read(spark, f"file://{tmp_path}").collect()
+    got = {(r["record_id"] or "").strip("<>").removeprefix("urn:uuid:"): r for r in rows if r["record_id"]}
+    assert got["1"]["payload_digest"] == got["2"]["payload_digest"] == digest and got["1"]["problem"] is got["2"]["problem"] is None
+    assert got["3"]["problem"] == got["4"]["problem"] == "the response is missing" and got["7"]["problem"] and got["1"]["page_id"] is None
+    assert {k for k, r in got.items() if r["record_type"] == "damaged"} == {"5", "6", "8", "9x"} and "0" not in got
+    assert sorted(r["problem"][:20] for r in rows if r["record_id"] is None) == ["no record begins wit", "the file can't be in", "the record has no id"]
+
+
 def groups_by_hand(docs):
     def by_hand(text):
         w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
@@ -281,7 +336,7 @@ def test_simhash_thresholds_cover_every_pair():
 def lines_by_hand(docs):
     """For each document its lines and those that stay."""
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(SPACE))
-    held = Counter(k for d in docs for k in {key(x) for x in (d[1] or "").split("\n")} if k)
+    held = Counter(k for _, k in {(d[0], key(x)) for d in docs for x in (d[1] or "").split("\n")} if k)
     return [((d[1] or "").split("\n"), [x for x in (d[1] or "").split("\n") if held[key(x)] < 10]) for d in docs]
 
 
@@ -313,6 +368,45 @@ def sampled(spark, tmp_path, make, label):
     return [y for _, y in rows]
 
 
+def quality_by_dictionary(docs, labels):
+    """Training and scores in plain Python: dictionaries of z and n, one part."""
+    kind = lambda b: ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else ord("0") if 48 <= b <= 57 else b
+    full = (1 << 64) - 1
+    place = lambda h, family: ((h * 2 + 2 * family + 1) * 0x9E3779B97F4A7C15 & full) >> (64 - quality_model.BITS)
+
+    def features(text):
+        raw = (text or "").encode()
+        found = [zlib.crc32(x) for x in raw.split()]
+        shapes = [zlib.crc32(x[:2] + x[-3:]) for x in bytes(map(kind, raw)).split()]
+        shapes = [61 if i and found[i] == found[i - 1] else x for i, x in enumerate(shapes)]
+        pairs = lambda h: [(a * 0x100000001B3 + b) & full for a, b in zip(h, h[1:])]
+        counts = Counter(place(h, f) for f, hs in ((1, found), (2, pairs(found)), (3, shapes), (4, pairs(shapes))) for h in hs)
+        values = {p: math.log1p(n) for p, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in values.values()))
+        return {p: float(np.float32(v / length)) for p, v in values.items()}
+
+    signed = lambda data: (h := xxhash.xxh64_intdigest(data, 42)) - (h >> 63 << 64)
+    known = sorted((i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2), key=lambda i: (signed(struct.pack("<q", i)), i))
+    text, z, n = dict(docs), Counter(), Counter()
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+
+    def weight(p):
+        return 0.0 if abs(z[p]) <= l1 else -(z[p] - math.copysign(l1, z[p])) / ((beta + math.sqrt(n[p])) / alpha + l2)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(p) * v for p, v in x.items()) - weight("bias")))
+
+    rows = [(features(text[i]), labels[i]) for i in known]
+    for _ in range(quality_model.EPOCHS):
+        for x, y in rows:
+            g = chance(x) - y
+            step = {p: (g * v, weight(p)) for p, v in [*x.items(), ("bias", 1.0)]}
+            for p, (d, w) in step.items():
+                z[p] += d - (math.sqrt(n[p] + d * d) - math.sqrt(n[p])) / alpha * w
+                n[p] += d * d
+    return lambda t: chance(features(t))
+
+
 def test_quality_model(spark, corpus, tmp_path):
     def make(i):
         good = rng.random() < 0.7
@@ -324,6 +418,9 @@ def test_quality_model(spark, corpus, tmp_path):
     held = [r for r in got if r["held_out"]]
     assert len(got) == 900 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     assert sum(r["predicted"] == truth[r["doc_id"]] for r in held) > 0.97 * len(held)
+    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    score = quality_by_dictionary(list(text.items()), dict(enumerate(truth)))
+    assert all(abs(r["score"] - score(text[r["doc_id"]])) < 1e-4 for r in got[::9])
     edge = quality_model.op7(spark, corpus).collect()
     assert len(edge) == len(DOCS) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in edge)
 
@@ -459,10 +556,41 @@ def test_url_filter(spark, corpus):
         assert tuple(row) == url_model.split_url(u)
 
 
-def test_url_model_tells_kinds_apart():
-    w = url_model.train()
-    score = lambda h, p: float(url_model.sigmoid(sum(w[a] @ b for a, b in (url_model.grams(h, "h"), url_model.grams(p, "p"))) + w[-1]))
-    assert score("m.cheap-pills.example.org", "/de/5") > 0.5 > score("m.thistle.example.org", "/de/5")
+def url_score(weights, url):
+    """The dot product of a url's n-grams, in dictionaries."""
+    total = float(weights[-1])
+    for text, family, length in zip(url_model.split_url(url), "hp", (1.0, 0.25)):
+        marked = "^" + "".join("0" if c.isdigit() else c for c in text) + "$"
+        places = {zlib.crc32((family + marked[i : i + n]).encode()) >> 16 for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))}
+        total += sum(float(weights[p]) for p in places) * length / math.sqrt(len(places))
+    return 1 / (1 + math.exp(-total))
+
+
+def test_url_filter_by_hand(spark, corpus):
+    """Every page: rule by rule, and the model's score where none fits."""
+    weights = url_model.train()
+    for root in (corpus, "/root/testdata/sf0.001"):
+        urls = {(r["page_id"], r["url"]) for r in spark.read.parquet(f"{root}/pages.parquet").collect()}
+        url_of = dict(urls)
+        for r in url_model.op8(spark, root).collect():
+            if sum(i == r["page_id"] for i, _ in urls) > 1:
+                continue
+            host, path = url_model.split_url(url_of[r["page_id"]])
+            fits = [(len(h) + len(p), h + p, v) for v, h, p in url_model.RULES if (host == h or host.endswith(f".{h}")) and path.startswith(p)]
+            score = url_score(weights, url_of[r["page_id"]])
+            _, rule, verdict = max(fits) if fits else (0, None, "block" if score >= 0.5 else "allow")
+            assert abs(r["score"] - score) < 1e-5
+            assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (r["verdict"] == verdict or not fits and abs(score - 0.5) < 1e-5)
+
+
+def test_url_model_on_hosts_it_has_not_seen():
+    # one in six hosts of each kind is held out
+    parts = lambda text, keep: " ".join(u for i, u in enumerate(text.split()) if (i % 6 == 0) != keep)
+    split = lambda keep: url_model.labelled([parts(t, keep) for t in url_model.BLOCKED.values()], parts(url_model.ALLOWED, keep))
+    weights = url_model.train(split(True))
+    known = sum((url_score(weights, u) >= 0.5) == y for u, y in split(True)) / len(split(True))
+    held = [(url_score(weights, u) >= 0.5, y) for u, y in split(False)]
+    assert known > 0.98 and sum(p == y for p, y in held) / len(held) > 0.5
 
 
 def test_bpe(spark, corpus):
@@ -491,6 +619,18 @@ def test_bpe_on_odd_texts(monkeypatch):
             assert np.frombuffer(coder.encode(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_very_long_words_are_merged_like_others():
+    v = bpe.vocabulary_of(bpe.read_tokenizer(bpe.default_path()))
+    reference = Tokenizer.from_file(bpe.default_path())
+    for size in (201, 3000):
+        for letters in ("a", "ab", "theringandst", "éß中"):
+            word = "".join(rng.choices(letters, k=size))
+            assert v.merge(word.encode()) == reference.encode(word, add_special_tokens=False).ids
+    began = time.perf_counter()
+    assert bpe.Coder(v, None).decode(struct.pack(f"<{len(ids := v.merge(b'abcde' * 40_000))}I", *ids)) == "abcde" * 40_000
+    assert time.perf_counter() - began < 30
+
+
 def test_lexicon_is_minimal_and_exact():
     found = sorted({"".join(rng.choices("abc", k=rng.randint(1, 6))).encode() for _ in range(300)})
     ids = [[rng.randrange(1 << 17) for _ in range(rng.randint(1, 3))] for _ in found]
