@@ -86,7 +86,8 @@ class LineRuns:
         """keys: a row (key) for each document that holds the key; a document's keys are all in one batch."""
         counts = keys.groupBy("key").agg(F.count("*").alias("docs"))
         for run in self.known:
-            counts = counts.join(run.select("key").hint("merge"), "key", "left_anti")
+            # an outer join and a filter: Spark moves an anti-join below the counting, where frequent keys have a row a document
+            counts = counts.join(run.select("key", F.lit(True).alias("seen")).hint("merge"), "key", "left").filter("seen IS NULL").drop("seen")
         self._put(0, self._sorted(counts, "run-0"))
 
     def _put(self, level: int, run: DataFrame) -> None:
