@@ -19,6 +19,8 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -117,17 +119,19 @@ def with_next(docs: DataFrame, k: int = K, window: int = WINDOW, ranges: int = R
     """
     ranges = max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     borders = range_borders(docs, ranges)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("own", winnowed(F.col("text"), k, window))
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    own = winnowed(F.col("text"), k, window)
     order = [F.col("after"), F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    following = F.struct("text", F.col("own.hashes").alias("hashes"))
+    # two values, as a struct of both would be sorted next to the text
+    following = lambda f: F.struct(f(F.col("text")).alias("text"), f(F.col("own.hashes")).alias("hashes"))
     if not borders:
-        rows = rows.withColumn("after", F.lit(False))
+        rows = rows.withColumn("after", F.lit(False)).withColumn("own", own)
         one = W.partitionBy(F.lit(0)).orderBy(*order)
-        return rows.select("doc_id", "text", "own", F.coalesce(F.lead(following).over(one), F.first(following).over(one)).alias("next"))
-    return _dealt(rows, borders, order, following)
+        return rows.select("doc_id", "text", "own", following(lambda c: F.coalesce(F.lead(c).over(one), F.first(c).over(one))).alias("next"))
+    return _dealt(rows, borders, own, order, following)
 
 
-def _dealt(rows: DataFrame, borders: list[int], order: list[Column], value: Column) -> DataFrame:
+def _dealt(rows: DataFrame, borders: list[int], own: Column, order: list[Column], following: Callable[[Callable[[Column], Column]], Column]) -> DataFrame:
     steps = max(1, (len(borders) - 1).bit_length())
     known = F.split(F.lit(",".join(map(str, borders))), ",").cast("array<bigint>")
     find = lambda known: F.aggregate(  # noqa: E731  the last border that is not above doc_id, by halving
@@ -140,9 +144,10 @@ def _dealt(rows: DataFrame, borders: list[int], order: list[Column], value: Colu
     edge = F.coalesce(F.get(known, F.col("at")) == F.col("doc_id"), F.lit(False))
     here = F.struct(F.col("at").alias("range"), F.lit(False).alias("after"))
     before = F.struct(F.when(F.col("at") == 0, F.lit(last)).otherwise(F.col("at") - 1).alias("range"), F.lit(True).alias("after"))
-    both = placed.select("doc_id", "text", "own", F.explode(F.when(edge, F.array(here, before)).otherwise(F.array(here))).alias("p")).select("doc_id", "text", "own", "p.range", "p.after")
-    following = F.lead(value).over(W.partitionBy("range").orderBy(*order))
-    return both.withColumn("next", following).filter("NOT after").select("doc_id", "text", "own", "next")
+    both = placed.select("doc_id", "text", F.explode(F.when(edge, F.array(here, before)).otherwise(F.array(here))).alias("p")).select("doc_id", "text", "p.range", "p.after")
+    both = both.repartition("range").withColumn("own", own)  # only texts are shuffled
+    one = W.partitionBy("range").orderBy(*order)
+    return both.withColumn("next", following(lambda c: F.lead(c).over(one))).filter("NOT after").select("doc_id", "text", "own", "next")
 
 
 def edited_text() -> Column:
