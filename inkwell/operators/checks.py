@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -97,15 +99,9 @@ def analyze(elements: DataFrame, minimum: int = 3, scope: str = "corpus") -> Dat
     return out
 
 
-def analyze_changed(elements: DataFrame, changed: DataFrame, since: tuple[int, int] | None, files: DataFrame, minimum: int = 3) -> DataFrame:
-    """The checks for what changed: keys (element_key), first uses from `since` on, density of files (file_path) by file."""
+def analyze_changed(elements: DataFrame, changed: DataFrame, since: tuple[int, int] | None, files: DataFrame, minimum: int = 3, scope: str = "corpus") -> DataFrame:
+    """The checks for what changed: keys (element_key), first uses from `since` on, density of files (file_path), or of all in corpus scope."""
     own = elements.join(changed.select("element_key").distinct(), "element_key", "left_semi")
-    parts = [punctuation(own).withColumn("ord", F.lit(0))]
-    if since is not None:
-        parts.append(abbreviations(elements, since).withColumn("ord", F.lit(1)))
-    parts.append(density(elements.join(files.select("file_path").distinct(), "file_path", "left_semi"), minimum, "file").withColumn("ord", F.lit(2)))
-    parts.append(captions(own).withColumn("ord", F.lit(3)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    counted = elements if scope == "corpus" else elements.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    parts = [punctuation(own), None if since is None else abbreviations(elements, since), density(counted, minimum, scope), captions(own)]
+    return reduce(DataFrame.unionByName, [part.withColumn("ord", F.lit(i)) for i, part in enumerate(parts) if part is not None])

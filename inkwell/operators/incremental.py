@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from inkwell.functions.ordering import following
 from inkwell.functions.text import content_hash
 from inkwell.schema import LEVELS, RANGE, Settings
 
-#: Rules whose result for an element depends on that element alone.
-LOCAL_RULES = ("punctuation", "caption")
-
 
 def keyed(elements: DataFrame) -> DataFrame:
     """elements with content_hash, occurrence (of equal ones in the file, from 0) and element_key."""
@@ -73,10 +73,34 @@ def section_files(elements: DataFrame, baseline: DataFrame) -> DataFrame:
     return everything.unionByName(changed(elements, baseline, "sentence", *LEVELS).select("file_path")).distinct()
 
 
+def reordered(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Rows only if elements that both have stand in another order: (element_key, file_ord, seq) of either."""
+    old = baseline.select("element_key", F.col("file_ord").alias("old_file"), F.col("seq").alias("old_seq"))
+    both = current.select("element_key", "file_ord", "seq").join(old, "element_key")
+    before = F.lag("old_seq").over(W.partitionBy("file_ord").orderBy("seq"))
+    inside = both.withColumn("before", before).filter("old_seq < before").select("file_ord")
+    files = following(both.groupBy("file_ord").agg(F.min("old_file").alias("old_file")), "file_ord", ["old_file"])  # a row per file
+    return inside.unionByName(files.filter("next_old_file < old_file").select("file_ord"))
+
+
 def suffix(sentences: DataFrame, file_ord: int, seq: int) -> DataFrame:
     return sentences.filter(F.struct("file_ord", "seq") >= F.struct(F.lit(file_ord).cast("long"), F.lit(seq).cast("long")))
 
 
+def section_keys(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """Keys of the sections in the files."""
+    return elements.filter(F.col("type").isin(*LEVELS)).join(files.select("file_path").distinct(), "file_path", "left_semi").select("element_key")
+
+
+def recheck(elements: DataFrame, own: DataFrame, since: tuple[int, int] | None, files: DataFrame) -> DataFrame:
+    """(rule, element_key) to check again: the changed elements by themselves, first uses from `since` on, the sections of files."""
+    parts = {"punctuation": own, "caption": own, "density": section_keys(elements, files)}
+    if since is not None:
+        parts["abbreviation"] = suffix(elements.filter("type = 'sentence'"), *since)
+    found = [part.select(F.lit(rule).alias("rule"), "element_key") for rule, part in parts.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def is_llm(source: Column) -> Column:
     return source.startswith("LLM:")
 
@@ -124,8 +148,3 @@ def config_signature(s: Settings) -> str:
     names = ("provider", "review_mode", "openai_model", "openai_base_url", "ollama_endpoint", "ollama_model")
     return json.dumps({n: getattr(s, n).strip() for n in names})
 
-
-def signature_column(**columns: Column) -> Column:
-    from inkwell.functions.text import js_trim
-
-    return F.to_json(F.struct(*[js_trim(c).alias(n) for n, c in columns.items()]))

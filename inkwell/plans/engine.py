@@ -1,8 +1,10 @@
 """Parsing, checking and reviewing a workspace, with state from run to run.
 
 Every run gives the same diagnostics as one without state: what depends on a single element is taken
-over for unchanged elements, what depends on order or neighbours is computed anew (its cost is one
-aggregation), and a sentence counts as reviewed only if it has a review under the same settings.
+over for unchanged elements, first uses of acronyms for sentences before the first that changed, density
+by file for files without a change; after a removal or a change of order what depends on either is
+computed anew, as is density over the corpus. A sentence counts as reviewed only if it has a review under
+the same settings.
 """
 
 from __future__ import annotations
@@ -24,15 +26,15 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings(), provider: Callable[[str, str], str] | None = None):
         self.spark, self.state, self.settings, self.provider = spark, State(spark, root), settings, provider
 
-    def parse(self, files: DataFrame, only: list[str] | None = None, force: bool = False) -> DataFrame:
+    def parse(self, files: DataFrame, only: list[str] | DataFrame | None = None, force: bool = False) -> DataFrame:
         """Keyed elements of files (file_path, file_ord, text), saved as the current run. only: read just these, the rest from the last run."""
         if force:
             self.state.clear()
         cached = self.state.read("elements")
         if only is not None and cached is not None and not force:
-            fresh = parser.elements(files.filter(F.col("file_path").isin(*only)))
-            names = self.spark.createDataFrame([(f,) for f in only], "file_path string")
-            kept = cached.join(F.broadcast(names), "file_path", "left_anti").join(files.select("file_path"), "file_path", "left_semi")
+            names = (self.spark.createDataFrame([(f,) for f in only], "file_path string") if isinstance(only, list) else only.select("file_path")).distinct()
+            fresh = parser.elements(files.join(names, "file_path", "left_semi"))
+            kept = cached.join(names, "file_path", "left_anti").join(files.select("file_path"), "file_path", "left_semi")
             place = files.select("file_path", F.col("file_ord").cast("long").alias("file_ord"))
             kept = kept.select(*fresh.columns).drop("file_ord").join(place, "file_path").select(*fresh.columns)
             found = kept.unionByName(fresh)
@@ -42,20 +44,35 @@ class Engine:
         return self.state.read("elements")
 
     def logic(self, elements: DataFrame) -> DataFrame:
-        """Diagnostics of the four checks, saved with the keys they were made for."""
+        """Diagnostics of the four checks, saved with the elements they were made for."""
         s, cached, known = self.settings, self.state.read("logic"), self.state.read("logic_keys")
-        whole = [checks.abbreviations(elements), checks.density(elements, s.minimum_sentences, s.density_scope)]
-        fresh_from = elements if cached is None or known is None else elements.join(known.select("element_key"), "element_key", "left_anti")
-        local = [checks.punctuation(fresh_from), checks.captions(fresh_from)]
-        if cached is not None and known is not None:
-            kept = cached.filter(F.col("rule").isin(*incremental.LOCAL_RULES)).join(elements.select("element_key"), "element_key", "left_semi")
-            kept = incremental.rebound(kept, elements)
-            local = [kept.filter(F.col("rule") == r).drop("ord").unionByName(x) for r, x in zip(incremental.LOCAL_RULES, local)]
-        parts = [local[0], whole[0], whole[1], local[1]]
-        self.state.write("logic", incremental.combined(*parts))
-        self.state.write("logic_keys", elements.select("element_key").distinct())
+        facts = {"minimum": s.minimum_sentences, "scope": s.density_scope}
+        if cached is None or known is None or any(self.state.facts("logic_keys").get(k) != v for k, v in facts.items()):
+            found = checks.analyze(elements, s.minimum_sentences, s.density_scope)
+        else:
+            found = self._logic_changed(elements, cached, known)
+        self.state.write("logic", found)
+        self.state.write("logic_keys", elements.select("element_key", "type", "file_ord", "seq"), **facts)
         return self.state.read("logic")
 
+    def _logic_changed(self, elements: DataFrame, cached: DataFrame, known: DataFrame) -> DataFrame:
+        """Cached diagnostics that still hold, at their present place, and the checks of what changed; together what a full run gives."""
+        s = self.settings
+        files = incremental.section_files(elements, known)
+        at = incremental.earliest_changed(elements, known).first()
+        since = None if at["file_ord"] is None else (at["file_ord"], at["seq"])
+        if incremental.reordered(elements, known).limit(1).count():
+            since, files = (-1, -1), elements.select("file_path")
+        changed = incremental.changed(elements, known, "sentence", "figure", "table").select("element_key")
+        again = incremental.recheck(elements, changed, since, elements.select("file_path") if s.density_scope == "corpus" else files)
+        kept = incremental.rebound(incremental.still_valid(cached, elements, again, llm=False), elements)
+        return kept.unionByName(checks.analyze_changed(elements, changed, since, files, s.minimum_sentences, s.density_scope))
+
+    def changes(self) -> DataFrame | None:
+        """How many elements the last run added and deleted, against the one before; None without two runs."""
+        now, before = self.state.read("elements"), self.state.read("elements", back=1)
+        return None if now is None or before is None else incremental.summary(incremental.difference(now, before))
+
     def llm(self, elements: DataFrame, parts: int = 1, progress: Callable[[DataFrame], None] | None = None) -> DataFrame:
         """Diagnostics of the model's review; only sentences without a review under these settings are asked.
 
@@ -92,13 +109,13 @@ class Engine:
         self.state.write("llm", found)
         return self.state.read("llm")
 
-    def full(self, files: DataFrame, only: list[str] | None = None, force: bool = False) -> DataFrame:
+    def full(self, files: DataFrame, only: list[str] | DataFrame | None = None, force: bool = False) -> DataFrame:
         """All diagnostics: first the checks', then the model's."""
         elements = self.parse(files, only, force)
         return incremental.combined(self.logic(elements), self.llm(elements))
 
-    def refresh(self, files: DataFrame, saved: list[str]) -> DataFrame:
-        """A run after saves: all of the saved files are read again."""
+    def refresh(self, files: DataFrame, saved: list[str] | DataFrame) -> DataFrame:
+        """A run after saves: all of the saved files (names, or a table with file_path) are read again."""
         return self.full(files, only=saved)
 
     def restore(self) -> DataFrame | None:
@@ -118,7 +135,7 @@ class Engine:
                 raise ValueError("there is no run to export, and no files to make one from")
             self.full(files)
             elements = self.state.read("elements")
-        elements.write.mode("overwrite").json(path)
+        incremental.in_position(elements).write.mode("overwrite").json(path)
 
     def write_log(self, path: str, elements: DataFrame) -> None:
         """The model's reviews as JSON lines: sentence, prompt, answer, issues, rewrite."""

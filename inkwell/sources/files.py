@@ -25,11 +25,6 @@ def documents(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> D
     return df.select(F.concat(F.lit("doc-"), F.col(id_column).cast("string")).alias("file_path"), F.col(id_column).cast("long").alias("file_ord"), F.col(text).alias("text"))
 
 
-def replace_files(cached: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Cached rows of other files and the fresh rows of those that were read again."""
-    return cached.join(fresh.select("file_path").distinct(), "file_path", "left_anti").unionByName(fresh)
-
-
 def is_save_event(path: Column, scheme: Column, untitled: Column, enabled: Column, root: str) -> Column:
     """Whether a save starts an analysis: enabled, titled, a file below root that ends in .tex in any case."""
     return enabled & ~untitled & (scheme == "file") & F.lower(path).endswith(".tex") & path.startswith(root.rstrip("/") + "/")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,12 @@ class State:
         return sorted(int(p.getName()[4:]) for p in found if fs.exists(self._hadoop.Path(p, "_SUCCESS")))
 
     def write(self, table: str, df: DataFrame, **facts: object) -> int:
-        """Add a run. facts are kept with it, for read_facts."""
+        """Add a run and drop those before the previous one. facts are kept with it, with the time in UTC, for facts()."""
+        facts["generated_at"] = datetime.now(UTC).isoformat(timespec="milliseconds")
         run = max(self.runs(table), default=0) + 1
         df.withColumn("version", F.lit(STATE_VERSION)).withColumn("facts", F.lit(json.dumps(facts, sort_keys=True))).write.mode("overwrite").parquet(f"{self.root}/{table}/run={run}")
+        for old in self.runs(table)[:-2]:
+            self._fs().delete(self._hadoop.Path(f"{self.root}/{table}/run={old}"), True)
         return run
 
     def read(self, table: str, back: int = 0) -> DataFrame | None:

@@ -47,6 +47,21 @@ def test_incremental_equals_full(spark, engine, tmp_path):
         assert got == shown(clean.full(files(spark, texts)))
 
 
+def test_increments_without_removals_and_with_other_order(spark, tmp_path):
+    settings = Settings(density_scope="file")
+    engine = Engine(spark, f"file://{tmp_path}/state", settings)
+    texts = {k: "\n".join(["\\section{S}", "One here.", f"GAN{k.upper()}X model", "\\begin{figure}\nx\n\\end{figure}", "\\subsection{T}", "CNN works."]) for k in "abc"}
+    assert engine.changes() is None
+    engine.full(files(spark, texts))
+    edits = [("b", lambda x: x + "\nNew one.\nLSTM model"), ("a", lambda x: x.replace("CNN works.", "CNN works.\nGANCX here.")), ("c", lambda x: "\n".join(reversed(x.split("\n\\subsection"))))]
+    for step, (k, edit) in enumerate(edits):
+        texts[k] = edit(texts[k])
+        got = shown(engine.refresh(files(spark, texts), spark.createDataFrame([(f"/w/{k}.tex",)], "file_path string")))
+        assert got == shown(Engine(spark, f"file://{tmp_path}/clean{step}", settings).full(files(spark, texts)))
+        assert step or tuple(engine.changes().first()) == (2, 0, 0)
+    assert engine.state.runs("logic") == [3, 4] and engine.state.facts("logic")["generated_at"]
+
+
 def test_unchanged_later_sentences_keep_their_diagnostics(spark, engine):
     text = "First one\nSecond one\nThird one"
     engine.full(files(spark, {"a": text}))
