@@ -69,6 +69,13 @@ def test_empty_tables_give_empty_results(spark, nothing, f):
     assert f(spark, nothing).count() == 0
 
 
+def test_every_corpus_query_is_registered():
+    import __spark_entry__ as entry
+
+    names = {"op1_quality_rules", "op2_winnowing", "op3_mixing", "op4_warc", "op5_simhash", "op6_line_dedup", "op7_quality", "op8_url_filter", "op9_toxicity", "op10_bpe", "pipeline"}
+    assert names <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
 def words(text):
     return [w for w in "".join(" " if c in SPACE else c for c in text or "").split(" ") if w]
 
