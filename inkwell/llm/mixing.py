@@ -13,7 +13,7 @@ running sums of a large source are made in thousands of tasks.
 
 Defined results: a null text has size 0; null sources are one source, last in order; repeated rows
 are documents of their own (which of them is the last in part is open, their rows are equal
-otherwise); a null doc_id hashes as an empty string; an empty table gives an empty result.
+otherwise; mixed() gives all of them the largest number of repetitions among them); a null doc_id hashes as an empty string; an empty table gives an empty result.
 """
 
 from __future__ import annotations
