@@ -1,15 +1,17 @@
 """Quality rules: per-document counts and cross-document line frequency, in DataFrame functions only.
 
 Method: every line is normalised (ASCII white space collapsed and stripped, lower case) and hashed
-together with its host; the number of different texts of that host that hold the line is
+together with its host; the number of distinct documents of that host that hold the line is
 counted; lines above the limit are removed; a document that loses too many of its words by that is
 rejected. judge() tells which, keep() gives the others with their whole texts, cleaned() without the
-lines. Exact copies of a text count as one document, and the document with the smallest doc_id that
-holds a line keeps it, so that of a group of copies one always stays.
+lines. The document with the smallest doc_id that holds a line keeps it, so that of a group of copies
+one keeps all of its own lines. LineLimits.copies_count=False counts the exact copies of a text as one
+document, for those who leave copies to a later stage.
 
 Defined results: a null or empty text has no words and is base_failed; a null host is a host of its
 own; a document with no word in any line has nothing removed; repeated rows each get the same row;
-a null doc_id is an id like any other but never counts as first; extra columns are ignored.
+rows that share a doc_id count as one document; a null doc_id is an id like any other but never
+counts as first; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ class LineLimits:
     min_docs: int = 10
     #: A document that keeps a smaller share of its words is rejected.
     min_kept_share: float = 0.3
+    #: Whether exact copies of a text count as documents of their own.
+    copies_count: bool = True
 
 
 def repeated_window_words(w: Column) -> Column:
@@ -82,8 +86,9 @@ def profile(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def frequent_lines(lines: DataFrame, limits: LineLimits) -> DataFrame:
     """(key, first, rows): lines above the limit, with the first document that holds each and how many lines it is."""
-    per_text = lines.groupBy("key", "text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    counted = per_text.groupBy("key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    one = "doc_id" if limits.copies_count else "text_hash"
+    each = lines.groupBy("key", F.col(one).alias("one")).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    counted = each.groupBy("key").agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.sum("rows").alias("rows"))
     return counted.filter(F.col("docs") >= limits.min_docs).select("key", "first", "rows")
 
 
@@ -160,7 +165,7 @@ ln AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l FRO
 lw AS (SELECT doc_id, source, text, l, lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS k,
        len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lw GROUP BY 1),
-fr AS (SELECT source, k, min(doc_id) AS first FROM lw GROUP BY 1, 2 HAVING count(DISTINCT text) >= 10),
+fr AS (SELECT source, k, min(doc_id) AS first FROM lw GROUP BY 1, 2 HAVING count(DISTINCT coalesce(CAST(doc_id AS VARCHAR), '')) >= 10),
 lost AS (SELECT lw.doc_id, sum(n) AS lost FROM lw JOIN fr ON lw.source IS NOT DISTINCT FROM fr.source AND lw.k = fr.k AND lw.doc_id <> fr.first GROUP BY 1),
 base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM w),

@@ -84,14 +84,14 @@ def multiset(rows):
     return Counter(map(tuple, rows))
 
 
-def quality_by_hand(docs):
+def quality_by_hand(docs, copies_count=True):
     holders, first = {}, {}
     norm = lambda line: " ".join(words(line)).lower()
     for d in docs:
         for line in (d[1] or "").split("\n"):
             if words(line):
                 k = (d[2], norm(line))
-                holders.setdefault(k, set()).add(d[1])
+                holders.setdefault(k, set()).add(d[0] if copies_count else d[1])
                 if d[0] is not None:
                     first[k] = min(first.get(k, d[0]), d[0])
     want = []
@@ -109,14 +109,19 @@ def quality_by_hand(docs):
 
 
 def test_quality_rules(spark, corpus):
-    assert multiset(quality_rules.op1(spark, corpus).collect()) == multiset(quality_by_hand(DOCS))
+    got = quality_rules.op1(spark, corpus)
+    assert multiset(got.collect()) == multiset(quality_by_hand(DOCS))
+    by_text = quality_rules.judge(spark.createDataFrame(DOCS, COLUMNS), limits=quality_rules.LineLimits(copies_count=False)).select(got.columns)
+    assert multiset(by_text.collect()) == multiset(quality_by_hand(DOCS, False))
 
 
 def test_quality_rules_reject_what_is_only_frequent_lines(spark):
     common = "\n".join(prose(12).replace("\n", " ") for _ in range(6))
     rows = [(i, f"{common}\n{prose(3)}", "s", 0) for i in range(30)] + [(i, prose(80), "s", 0) for i in range(100, 130)] + [(i, BASE, "s", 0) for i in range(200, 240)]
-    kept = {r["doc_id"] for r in quality_rules.keep(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()}
-    assert kept == {0} | set(range(100, 130)) | set(range(200, 240))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    kept = lambda limits: {r["doc_id"] for r in quality_rules.keep(docs, limits=limits).collect()}
+    assert kept(quality_rules.LineLimits()) == {0, 200} | set(range(100, 130))
+    assert kept(quality_rules.LineLimits(copies_count=False)) == {0} | set(range(100, 130)) | set(range(200, 240))
 
 
 def test_frequent_lines_are_removed(spark):
@@ -660,7 +665,7 @@ def test_one_document_of_each_group_stays(spark):
 
 
 def pipeline_by_hand(docs):
-    docs = [d for d, w in zip(docs, quality_by_hand(docs)) if w[-1]]
+    docs = [d for d, w in zip(docs, quality_by_hand(docs, False)) if w[-1]]
     docs = [(d[0], d[1] if len(a) == len(b) else "\n".join(b), *d[2:]) for d, (a, b) in zip(docs, lines_by_hand(docs))]
     docs = list({d[0]: d for d, g in zip(docs, groups_by_hand(docs)) if g[0] == g[2]}.values())
     sizes, target = targets_by_hand(docs)
