@@ -9,8 +9,8 @@ from inkwell.llm.common import materialize, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; those that stay keep their text."""
-    return quality_rules.keep(docs)
+    """Documents that the quality rules reject go; those that stay keep their text. Copies are left to the near-duplicate stage."""
+    return quality_rules.keep(docs, limits=quality_rules.LineLimits(copies_count=False))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
