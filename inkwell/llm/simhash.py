@@ -256,8 +256,8 @@ def links(fps: DataFrame, parts: int = PARTS, dense: int = DENSE, shared_from: i
     """(a, b): links between different fingerprints of fps (fp), enough to join every component."""
     index = build_index(fps, parts)
     keys = materialize(fps.select("fp").mapInArrow(_keys(index), "fp long, key long, part int"), "simhash-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= shared_from)
-    per_fp = keys.join(shared, "key").groupBy("fp").agg(*[F.max(F.when(F.col("part") == k, F.col("n"))).alias(f"n{k}") for k in range(parts)])
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("rows")).filter(F.col("n") >= shared_from), "simhash-shared")
+    per_fp = join_hot(keys, shared, "key", "rows").groupBy("fp").agg(*[F.max(F.when(F.col("part") == k, F.col("n"))).alias(f"n{k}") for k in range(parts)])
     known = fps.select("fp").join(per_fp, "fp", "left").select("fp", *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in range(parts)])
     probes = materialize(known.mapInArrow(_probes(index, dense), "kind int, key long, fp long"), "simhash-probes")
     met = probes.filter("kind = 0").select("key", F.col("fp").alias("a")).join(keys.select("key", F.col("fp").alias("b")), "key")
@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     nodes = materialize(components(links(fps)), "simhash-components")
     joined = nodes.join(fps, nodes["node"] == fps["fp"]).select("fp", "root", "least")
-    roots = joined.groupBy("root").agg(F.min("least").alias("component"))
-    linked = joined.join(roots, "root").select(F.col("fp").alias("of"), "component")
+    roots = materialize(joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("nodes")), "simhash-roots")
+    linked = join_hot(joined, roots, "root", "nodes").select(F.col("fp").alias("of"), "component")
     each = fps.join(linked, F.col("fp") == F.col("of"), "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows")
     return join_hot(rows, materialize(each, "simhash-groups"), "fp", "rows").select("doc_id", "fp", "component_id")
 
