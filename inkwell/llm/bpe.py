@@ -5,8 +5,8 @@ into a minimal acyclic automaton (words in order, states with equal futures shar
 numbers that add up, along a word, to the word's row in a table of ids: the transducer's output. The
 automaton is one file in the shared folder that Spark hands to each executor once and that all of its
 workers map into memory. Words that it doesn't hold are merged exactly, lowest rank first, and kept in
-a bounded memo. Frequent words are by default the vocabulary's own whole words, which the vocabulary's
-makers found frequent; frequent_words() counts those of a corpus. The lexicon changes speed, never ids.
+a bounded memo. Frequent words are counted over all texts by frequent_words(); without a list of them
+the vocabulary's own whole words stand in. The lexicon changes speed, never ids.
 
 Long texts are cut in front of white space that follows something else, where no piece can reach
 across, so memory follows the ids of one text.
@@ -340,4 +340,5 @@ def default_path() -> str:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), default_path())
+    docs = table(spark, sf_dir, "documents")
+    return digests(docs, default_path(), frequent_words(docs))
