@@ -30,7 +30,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids, a row per document of the mix."""
-    return bpe.digests(docs, bpe.default_path())
+    return bpe.digests(docs, bpe.default_path(), bpe.frequent_words(docs))
 
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("simhash", near_duplicate_stage), ("mixing", mixing_stage), ("bpe", encoding_stage)]
