@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import shared_dir, table
+from inkwell.llm.common import materialize, shared_dir, table
 
 #: Alternatives that can't both match at a place are reordered, the most frequent first.
 WHOLE = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -45,7 +45,8 @@ WHOLE = regex.compile(r" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{
 LATIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
 CUT = re.compile(r"(?<=\S)\s")
-LONG_TEXT, MEMO, LEXICON, SHORT = 1 << 20, 400_000, 65_536, 200
+LONG_TEXT, MEMO, LEXICON, SHORT = 1 << 20, 600_000, 65_536, 200
+NO_PAIR = 1 << 60
 
 
 def pieces(text: str) -> Iterator[list[str]]:
@@ -77,6 +78,7 @@ class Vocabulary:
         for rank, merge in enumerate(data["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self.pair[vocab[a] << 20 | vocab[b]] = rank << 20 | vocab[a + b]
+        self.of_bytes = [self.pair.get(a << 20 | b, NO_PAIR) for a in self.first for b in self.first]
         self.words = sorted(b for i, b in self.bytes_of.items() if i not in self.special.values() and self._whole(b))
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -91,9 +93,9 @@ class Vocabulary:
         """The ids of one piece: the pair of lowest rank, leftmost first, is merged until none is left."""
         if len(word) > SHORT:
             return self._merge_long(word)
-        none, get = 1 << 60, self.pair.get
+        none, get, of_bytes = NO_PAIR, self.pair.get, self.of_bytes
         ids = [self.first[b] for b in word]
-        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        ranks = [of_bytes[a << 8 | b] for a, b in zip(word, word[1:])]
         while ranks and (least := min(ranks)) < none:
             i = ranks.index(least)
             ids[i : i + 2] = [new := least & 0xFFFFF]
@@ -205,22 +207,25 @@ class Lexicon:
 
 
 class Coder(dict):
-    """Piece to ids as bytes: the lexicon's, or merged; also a bounded memo of both."""
+    """Piece to ids as bytes: the lexicon's, or merged; also a memo of both, in two generations of memo / 2 pieces."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, memo: int = MEMO):
         super().__init__()
-        self.vocabulary, self.lexicon, self.memo = vocabulary, lexicon, memo
+        self.vocabulary, self.lexicon, self.half, self.old = vocabulary, lexicon, memo // 2, {}
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece.encode()
-        found = self.lexicon.find(word) if self.lexicon else None
-        if found is None:
-            ids = self.vocabulary.merge(word)
-            found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= self.memo:
+        if (found := self.old.get(piece)) is None:
+            word = piece.encode()
+            found = self.lexicon.find(word) if self.lexicon else None
+            if found is None:
+                ids = self.vocabulary.merge(word)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+            if len(word) > 64:
+                return found
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
-        if len(word) <= 64:
-            self[piece] = found
+        self[piece] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -276,7 +281,10 @@ def coder_of(spec: str, name: str) -> Coder:
 
 
 def frequent_words(docs: DataFrame, top: int = LEXICON) -> list[bytes]:
-    """The pieces found most often in all texts; `top` bounds what comes to the driver."""
+    """The pieces found n times or more in all texts, n (from 2 on) as small as leaves `top` of them or fewer.
+
+    Only these and a count for each step come to the driver.
+    """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -289,8 +297,17 @@ def frequent_words(docs: DataFrame, top: int = LEXICON) -> list[bytes]:
                     found.clear()
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"].encode() for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()]
+    counts = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    # numbers up to 1024 are steps of their own, larger ones go by sixteenths of a doubling
+    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(864 + F.floor(16 * F.log2("n"))).cast("int")
+    counts = materialize(counts.select("word", step.alias("step")), "words")
+    words, least = 0, None
+    for found in sorted(counts.groupBy("step").count().collect(), reverse=True):
+        words += found["count"]
+        if words > top:
+            break
+        least = found["step"]
+    return sorted(r["word"].encode() for r in counts.filter(F.col("step") >= least).collect()) if least is not None else []
 
 
 def read_tokenizer(path: str) -> str:

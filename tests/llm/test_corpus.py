@@ -615,7 +615,10 @@ def test_bpe(spark, corpus):
     assert multiset(bpe.op10(spark, corpus).collect()) == multiset(want)
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     common = bpe.frequent_words(docs, 50)
-    assert len(common) == 50
+    counts = Counter(p for d in DOCS for part in bpe.pieces(d[1] or "") for p in part)
+    least = min(counts[w.decode()] for w in common)
+    assert 0 < len(common) <= 50 and {w.decode() for w in common} == {w for w, n in counts.items() if n >= least}
+    assert {w.decode() for w in bpe.frequent_words(docs, 10**6)} == {w for w, n in counts.items() if n > 1}
     assert multiset(bpe.digests(docs, bpe.default_path(), common).collect()) == multiset(want)
 
 
