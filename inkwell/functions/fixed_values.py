@@ -58,6 +58,9 @@ WEAK_WORDS = (
     "建议补充", "建议说明", "建议明确", "建议修改为", "建议改为", "建议将", "可能需要",
 )
 
+# --- white space: what JavaScript's trim takes off ----------------------------------------------
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
 # --- commands of a LaTeX line --------------------------------------------------------------------
 HEADING = r"\\(title|chapter|section|subsection|subsubsection)\*?\{(.+)\}"
 ENVIRONMENT = r"\\begin\{([a-zA-Z*]+)\}"
