@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from inkwell.functions import text as X
 from inkwell.functions.ordering import following, prefix_sum
 from inkwell.schema import LEVELS, RANGE, WARNING
+from inkwell.sources.state import stage
 
 SOURCE = "Thesis Logic"
 RULES = ("punctuation", "abbreviation", "density", "caption")
@@ -30,13 +31,14 @@ def sentences(elements: DataFrame) -> DataFrame:
 
 def punctuation(elements: DataFrame) -> DataFrame:
     """Sentences that don't end like one."""
-    found = sentences(elements).filter((X.js_trim(F.col("content")) != "") & ~X.ends_sentence(F.col("content")))
+    found = sentences(elements).filter(~X.ends_sentence(F.col("content")) & (X.js_trim(F.col("content")) != ""))
     return _diagnostics(found, "punctuation", F.lit("句子缺少句末标点。"))
 
 
 def first_uses(elements: DataFrame) -> DataFrame:
     """The sentence in which each unknown acronym is first used, and whether it defines it."""
-    rows = sentences(elements).withColumn("acronym", F.explode(F.array_distinct(X.acronyms(F.col("content"))))).filter(~X.is_known(F.col("acronym")))
+    rows = sentences(elements).filter(F.col("content").rlike("[A-Z]{3}"))  # a quick look, most have none
+    rows = rows.withColumn("acronym", F.explode(F.array_distinct(X.acronyms(F.col("content"))))).filter(~X.is_known(F.col("acronym")))
     keep = [c for c in rows.columns if c != "acronym"]
     first = rows.groupBy("acronym").agg(F.min_by(F.struct(*keep), F.struct("file_ord", "seq")).alias("r")).select("acronym", "r.*")
     return first.withColumn("defined", F.array_contains(X.defined_acronyms(F.col("content")), F.col("acronym")))
@@ -53,19 +55,21 @@ def abbreviations(elements: DataFrame, since: tuple[int, int] | None = None) ->
 def section_counts(elements: DataFrame, scope: str = "corpus") -> DataFrame:
     """Headings with their sentences up to the next heading and whether that one is deeper.
 
-    Windows are per file; in corpus scope each file's last heading also gets the sentences that open the
-    files after it, up to and with the next file that has a heading, through a table of a row per file.
+    One window per file, over places and levels only, counts the sentences of each heading and those before
+    the first; all else is made of these counts. In corpus scope each file's last heading also gets the
+    sentences that open the files after it, up to and with the next file that has a heading, through a table
+    of a row per file.
     """
     level = F.coalesce(*[F.when(F.col("type") == t, n) for t, n in LEVELS.items()])
-    rows = elements.filter(F.col("type").isin("sentence", *LEVELS)).withColumn("level", level)
+    rows = elements.filter(F.col("type").isin("sentence", *LEVELS)).select("file_ord", "seq", level.alias("level"))
     order = W.partitionBy("file_ord").orderBy("seq")
     rows = rows.withColumn("heading", F.last(F.when(F.col("level").isNotNull(), F.col("seq")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    counts = rows.groupBy("file_ord", "heading").agg(F.count_if(F.col("level").isNull()).alias("sentences"))
-    heads = rows.filter("level IS NOT NULL").withColumn("next_level", F.lead("level").over(order)).drop("heading")
-    heads = heads.join(counts.withColumnRenamed("heading", "seq").filter("seq IS NOT NULL"), ["file_ord", "seq"])
+    counts = stage(rows.groupBy("file_ord", "heading").agg(F.count_if(F.col("level").isNull()).alias("sentences"), F.max("level").alias("level")), "sections")
+    heads = counts.filter("heading IS NOT NULL").withColumnRenamed("heading", "seq").withColumn("next_level", F.lead("level").over(order)).drop("level")
+    heads = elements.filter(F.col("type").isin(*LEVELS)).withColumn("level", level).join(heads, ["file_ord", "seq"])
     if scope == "file":
         return heads.withColumn("has_child", F.coalesce(F.col("next_level") > F.col("level"), F.lit(False)))
-    files = rows.groupBy("file_ord").agg(F.min_by("level", F.when(F.col("level").isNotNull(), F.col("seq"))).alias("first_level"), F.count_if(F.col("heading").isNull() & F.col("level").isNull()).alias("leading"))
+    files = counts.groupBy("file_ord").agg(F.min_by("level", "heading").alias("first_level"), F.coalesce(F.max(F.when(F.col("heading").isNull(), F.col("sentences"))), F.lit(0)).alias("leading"))
     summed = prefix_sum(files, "file_ord", "leading", "upto")
     total = F.broadcast(summed.agg(F.coalesce(F.max("upto"), F.lit(0)).alias("all")))  # one row
     with_heads = following(summed.filter("first_level IS NOT NULL"), "file_ord", ["first_level", "upto"]).crossJoin(total)

@@ -2,12 +2,15 @@
 
 import random
 import re
+import sys
 import time
 
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.functions.fixed_values import WHITE
+from inkwell.operators import checks, parser
+from inkwell.schema import LEVELS
 
 BLANK = "[" + re.escape(WHITE) + "]"
 
@@ -43,3 +46,59 @@ def test_long_runs_inside_a_line_take_linear_time(spark):
     began = time.monotonic()
     assert column(spark, runs, X.ends_sentence) == [False] * 3
     assert time.monotonic() - began < 20
+
+
+def thesis_elements(spark):
+    """Random files of headings and sentences, some without headings, and equations between them."""
+    rng = random.Random(11)
+    kinds = ["sentence"] * 6 + ["chapter", "section", "subsection", "title", "equation"]
+    rows = [(f, i, rng.choice(kinds if f % 4 else ["sentence", "equation"]), f"c{f}-{i}") for f in range(60) for i in range(rng.randint(0, 12))]
+    return spark.createDataFrame(rows, "file_ord long, seq long, type string, content string"), rows
+
+
+def sections(rows, corpus):
+    """(file, seq) of a heading to its sentences and whether the next heading is deeper, in plain Python."""
+    out, open_at = {}, None
+    for file, seq, kind, _ in sorted(rows):
+        if not corpus and open_at and open_at[0] != file:
+            open_at = None
+        if kind in LEVELS:
+            if open_at:
+                out[open_at][1] = LEVELS[kind] > out[open_at][2]
+            open_at = (file, seq)
+            out[open_at] = [0, False, LEVELS[kind]]
+        elif kind == "sentence" and open_at:
+            out[open_at][0] += 1
+    return {k: (n, deeper) for k, (n, deeper, _) in out.items()}
+
+
+def test_sections_equal_a_scan(spark):
+    elements, rows = thesis_elements(spark)
+    for scope in ("corpus", "file"):
+        got = checks.section_counts(elements, scope).collect()
+        assert {(r.file_ord, r.seq): (r.sentences, r.has_child) for r in got} == sections(rows, scope == "corpus")
+        assert len(got) == sum(kind in LEVELS for _, _, kind, _ in rows) and all(r.content == f"c{r.file_ord}-{r.seq}" for r in got)
+
+
+def test_density_reads_the_sentences_once_and_sorts_no_texts(spark):
+    elements, _ = thesis_elements(spark)
+    plan = checks.section_counts(elements)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"'?type#\d+ (?:IN|INSET) .*sentence", plan)  # the sentences were counted in a table of their own
+
+
+def test_a_sentence_costs_no_call_per_character():
+    """Characters of prose are passed by patterns: a Python step for each was most of the parser's time."""
+    calls = 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    text = "\n".join(["The quick brown fox jumps over the lazy dog, and so on and on; then it sleeps in the sun all day long. 机器学习是很好的方法。"] * 50)
+    sys.setprofile(count)
+    try:
+        found, _ = parser.parse(text)
+    finally:
+        sys.setprofile(None)
+    assert len(found) == 100
+    assert calls < len(text)
