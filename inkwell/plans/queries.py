@@ -128,6 +128,13 @@ def thesis(spark: SparkSession, sf_dir: str, sql: str = THESIS) -> DataFrame:
     return rows.select("file_path", "file_ord", at.alias("line_no"), "seq", "type", "content", at.alias("start_line"), F.lit(0).alias("start_char"), at.alias("end_line"), F.length("content").alias("end_char"), meta.alias("metadata"))
 
 
+def tex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of TEX. Parts are short and become long texts, so they are dealt evenly to a few tasks a core first; the table's few row groups would be as few tasks."""
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    table(spark, sf_dir, "part").repartition(n, "p_partkey").createOrReplaceTempView("part")
+    return spark.sql(TEX)
+
+
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line"))
     stripped = rows.withColumn("stripped", X.strip_comment(F.col("line")))
@@ -207,7 +214,7 @@ def env_blocks(spark, sf_dir):
 
 @query(f"WITH {_EXPECTED} SELECT type, count(*) AS n FROM p GROUP BY type")
 def element_counts(spark, sf_dir):
-    return reports.element_counts(parser.elements(made(spark, sf_dir, TEX, "part")))
+    return reports.element_counts(parser.elements(tex(spark, sf_dir)))
 
 
 @query()

@@ -4,14 +4,19 @@ import random
 import re
 import sys
 import time
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.functions.fixed_values import WHITE
 from inkwell.operators import checks, parser
+from inkwell.plans import queries as plans
 from inkwell.schema import LEVELS
 
+DATA = "/root/testdata"
+
 BLANK = "[" + re.escape(WHITE) + "]"
 
 
@@ -102,3 +107,23 @@ def test_a_sentence_costs_no_call_per_character():
         sys.setprofile(None)
     assert len(found) == 100
     assert calls < len(text)
+
+
+@pytest.mark.skipif(not Path(f"{DATA}/sf0.001").is_dir(), reason="the tables are not there")
+@pytest.mark.parametrize("name", ["element_counts"])
+def test_parts_are_dealt_before_they_are_parsed(spark, name):
+    """A table of one row group is one task; its texts are parsed by at least as many tasks as there are cores."""
+    plan = plans.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.search(r"MapInArrow[\s\S]*Exchange hashpartitioning\(p_partkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and int(dealt[1]) >= spark.sparkContext.defaultParallelism
+    used = {r[0] for r in plans.tex(spark, f"{DATA}/sf0.001").select(F.spark_partition_id()).collect()}
+    assert len(used) >= spark.sparkContext.defaultParallelism
+
+
+def test_prose_equals_the_general_way(monkeypatch):
+    """Lines of prose have a shorter way through the parser; it finds what the other does."""
+    pieces = [*"ab .!?。？,;:)]'\"”’_1é", "e.g.", "Dr.", "Fig", " A.", "word", "模型", " ", ". ", "\n", "% x", "($x$)", "\\cite{a}", "  ", "\t", "😀", "(b. c)"]
+    texts = random_texts(4000, pieces)
+    short = [parser.parse(t) for t in texts]
+    monkeypatch.setattr(parser, "_UNEVEN", re.compile(""))  # every text counts as uneven
+    assert short == [parser.parse(t) for t in texts]
