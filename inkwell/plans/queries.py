@@ -204,7 +204,7 @@ UNION ALL SELECT file_path, 7, 'sentence', 'See and here.', 9, 0, 9, 25 FROM t)"
 
 @query(f"WITH {_EXPECTED} SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY n) - 1 AS seq, type, content, start_line, start_char, end_line, end_char FROM p")
 def parse_elements(spark, sf_dir):
-    return parser.elements(made(spark, sf_dir, TEX, "part")).select("file_path", "seq", "type", "content", *RANGE)
+    return parser.elements(tex(spark, sf_dir)).select("file_path", "seq", "type", "content", *RANGE)
 
 
 @query(f"WITH {_EXPECTED} SELECT file_path, type, contains(content, '\\caption') AS has_caption FROM p WHERE type IN ('figure', 'table')")
