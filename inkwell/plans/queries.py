@@ -175,7 +175,7 @@ _TEX_LINES = f"t AS ({TEX}), x AS (SELECT file_path, unnest(a) AS line, CAST(gen
 
 
 def _tex_lines(spark, sf_dir):
-    files = made(spark, sf_dir, TEX, "part")
+    files = tex(spark, sf_dir)
     return files.select("file_path", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line")).withColumn("line", X.strip_comment(F.col("line")))
 
 
@@ -209,7 +209,7 @@ def parse_elements(spark, sf_dir):
 
 @query(f"WITH {_EXPECTED} SELECT file_path, type, contains(content, '\\caption') AS has_caption FROM p WHERE type IN ('figure', 'table')")
 def env_blocks(spark, sf_dir):
-    return parser.elements(made(spark, sf_dir, TEX, "part")).filter("metadata.environment IS NOT NULL").select("file_path", "type", F.col("metadata.has_caption").alias("has_caption"))
+    return parser.elements(tex(spark, sf_dir)).filter("metadata.environment IS NOT NULL").select("file_path", "type", F.col("metadata.has_caption").alias("has_caption"))
 
 
 @query(f"WITH {_EXPECTED} SELECT type, count(*) AS n FROM p GROUP BY type")

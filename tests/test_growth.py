@@ -110,7 +110,7 @@ def test_a_sentence_costs_no_call_per_character():
 
 
 @pytest.mark.skipif(not Path(f"{DATA}/sf0.001").is_dir(), reason="the tables are not there")
-@pytest.mark.parametrize("name", ["element_counts", "parse_elements"])
+@pytest.mark.parametrize("name", ["element_counts", "parse_elements", "env_blocks"])
 def test_parts_are_dealt_before_they_are_parsed(spark, name):
     """A table of one row group is one task; its texts are parsed by at least as many tasks as there are cores."""
     plan = plans.QUERIES[name](spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
